@@ -8,18 +8,30 @@ prefixes, are those of its units one after another, and every distinct unit need
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from functools import lru_cache
 
 # fixed values: the characters of Unicode's White_Space property
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# fixed value: the pattern by which byte-level vocabularies split text before merging
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: White space before a blank: only then does a cut before each blank differ from UNIT.
-RUN = re.compile(f"[{WHITE}] ")
+#: Neighbouring white space: only then does a cut before each blank differ from UNIT.
+RUN = re.compile(f"[{WHITE}][{WHITE}]")
+#: Code points below this are classed alike by every Unicode version, so that faster code may stand in.
+PLAIN_END = "\u0250"
+# fixed values: letters and numbers below PLAIN_END
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+#: A text without these may be cut before every full stop and comma as well.
+NO_STOP_CUT = re.compile(f"[^{LETTERS}{NUMBERS}][.,]|^[.,]|\x00")
+NOT_PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]")
 LONG_CONTRACTION = re.compile(r"'(?:re|ve|ll)")
 #: Entries of a cache before it starts anew; bounds a worker's memory.
-CACHE = 150_000
+CACHE = 300_000
 LONGEST_CACHED = 64
 
 
@@ -28,6 +40,11 @@ def units(text: str) -> list[str]:
         return []
     if RUN.search(text):
         return UNIT.findall(text)
+    if not NO_STOP_CUT.search(text):
+        for ch in " .,\n":
+            text = text.replace(ch, "\x00" + ch)
+        first, *rest = text.split("\x00")
+        return [first, *rest] if first else rest
     first, *rest = text.split(" ")
     return ([first] if first else []) + [" " + x for x in rest]
 
@@ -62,21 +79,44 @@ class Vocabulary:
         self.added = [t.content for t in added]
         self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.widest = max(map(len, self.vocab))
+        self.fast = self._ranked(path)
+        # byte -> the character that stands for it in the vocabulary
+        self.letters = {b: c for b, c in enumerate(_byte_letters())}
         self.ids = _Cache(self._ids)
         self.deltas = _Cache(self._deltas)
-        self.pieces: dict[str, list[int]] = {}
+        self.tables = _Cache(self._piece_deltas)
+        self.prefixes: dict[str, tuple[int, str | None, int]] = {"": (0, None, 0)}
         self.pairs: dict[tuple[str | None, str], bool] = {}
 
+    def _ranked(self, path: str):
+        """The same vocabulary as ranks, for the units of plain characters; None if its merges aren't in order of id."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [self.vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            return None
+        back = {c: b for b, c in enumerate(_byte_letters())}
+        ranks = {bytes(back[c] for c in token): n for token, n in self.vocab.items() if all(c in back for c in token)}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _ids(self, unit: str) -> bytes:
-        import numpy as np
+    def _plain(self, unit: str) -> bool:
+        return (unit.isascii() or max(unit) < PLAIN_END) and not any(a in unit for a in self.added)
 
-        return np.asarray(self._encode(unit), dtype="<u4").tobytes()
+    def _ids(self, unit: str) -> bytes:
+        ids = self.fast(unit) if self.fast and self._plain(unit) else self._encode(unit)
+        return array("I", ids).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.fast and not NOT_PLAIN.search(text) and not any(a in text for a in self.added):
+            return array("I", self.fast(text)).tobytes()
         return b"".join(map(self.ids.__getitem__, units(text)))
 
     # -- token counts of all prefixes
@@ -92,52 +132,77 @@ class Vocabulary:
             found = self.pairs[key] = values == ([token] if last is None else [last, token])
         return found
 
-    def _piece(self, piece: str) -> list[int]:
+    def _count(self, piece: str) -> list[int]:
         """Token counts of the prefixes of one pre-token (one character a byte), by dynamic programming.
 
         A sequence of tokens is what BPE makes of its bytes if and only if each two neighbours are what BPE
         makes of theirs. So the last token of a prefix is the one that may follow the last token of the
-        prefix before it, and the count is one more than there.
+        prefix before it, and the count is one more than there. Prefixes are kept, as words share them.
         """
-        counts, last = [0], [None]
+        known, keep = self.prefixes, len(piece) <= LONGEST_CACHED
+        if not keep:
+            known = {"": (0, None, 0)}
+        elif len(known) >= 3 * CACHE:
+            known.clear()
+            known[""] = (0, None, 0)
+        counts = []
+        start = 0  # where the last token of the prefix begins
         for j in range(1, len(piece) + 1):
-            for i in range(max(0, j - self.widest), j):
-                token = piece[i:j]
-                if token in self.vocab and (i == 0 or last[i] is not None) and self._stands(last[i], token):
-                    counts.append(counts[i] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no encoding of {piece!r}")
-        return counts[1:]
+            prefix = piece[:j] if keep else j
+            found = known.get(prefix)
+            if found is None:
+                # mostly the last token grows or a new one begins; else any other token may be the last
+                for i in itertools.chain((start, j - 1), range(max(0, j - self.widest), j - 1)):
+                    token = piece[i:j]
+                    if token in self.vocab:
+                        count, before = known[(piece[:i] if keep else i) or ""][:2]
+                        if (i == 0 or before is not None) and self._stands(before, token):
+                            found = known[prefix] = (count + 1, token, i)
+                            break
+                else:
+                    raise ValueError(f"no encoding of {piece!r}")
+            counts.append(found[0])
+            start = found[2]
+        return counts
+
+    def _piece_deltas(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            counts = self._count(piece.replace(" ", self.letters[32]))
+        else:
+            raw = piece.encode()
+            counts = self._count(raw.decode("latin-1").translate(self.letters))
+            if len(raw) != len(piece):
+                ends, at = [], 0
+                for ch in piece:
+                    at += len(ch.encode())
+                    ends.append(counts[at - 1])
+                counts = ends
+        return bytes([b - a & 0xFF for a, b in zip([0, *counts], counts)])
 
     def _deltas(self, unit: str) -> bytes:
         """For each code point of the unit, by how much the token count grows with it (signed bytes)."""
+        if self._plain(unit) and (unit[0] not in WHITE or unit[1:2] not in WHITE) and "'" not in unit:
+            return b"".join(map(self.tables.__getitem__, PIECE.findall(unit)))
         lead = re.match(f"[{WHITE}]*", unit).end()
         if lead > 1 or LONG_CONTRACTION.search(unit) or any(a in unit for a in self.added):
+            # a cut here may change how the text before it is split: each prefix is encoded
             counts = [len(self._encode(unit[: k + 1])) for k in range(len(unit))]
-        else:
-            counts, base = [], 0
-            for piece, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit):
-                table = self.pieces.get(piece)
-                if table is None:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    table = self._piece(piece)
-                    if len(piece) <= LONGEST_CACHED:
-                        self.pieces[piece] = table
-                at = 0
-                for ch in unit[start:end]:
-                    at += len(ch.encode())
-                    counts.append(base + table[at - 1])
-                base += table[-1]
-        return bytes((b - a) & 0xFF for a, b in zip([0, *counts], counts))
+            return bytes((b - a) & 0xFF for a, b in zip([0, *counts], counts))
+        return b"".join(self.tables[unit[a:b]] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit))
 
     def prefix_deltas(self, text: str) -> bytes:
         """deltas[p] is count(text[: p + 1]) - count(text[:p]) as a signed byte, for each code point."""
         return b"".join(map(self.deltas.__getitem__, units(text)))
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> list[str]:
+    """The characters that stand for the bytes 0 to 255 in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """One per Python worker and file."""
