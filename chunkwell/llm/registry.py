@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, token_counts
+from . import chat, packing, sharding, simhash, token_counts, toxicity
 from .common import table
 
 SHARD_BYTES = 8 << 20
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, errors=2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=1024, keep_table=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
@@ -33,7 +41,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
