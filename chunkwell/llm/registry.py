@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, packing, sharding, simhash, token_counts, toxicity
+from . import chat, decontaminate, linededup, packing, sharding, simhash, token_counts, toxicity
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=1024, keep_table=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
@@ -46,7 +50,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_toxicity, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_toxicity, op6_decontamination, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
