@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds. DataFrame operations only.
 
-Tokens are runs of letters and digits in lower case; other characters than white space are dropped. A seed is a
+Tokens are runs of letters and digits in lower case. A seed is a
 mask laid on consecutive tokens: the positions that it ignores may differ. Seeds of benchmark items and of
 documents are hashed and joined. Each hit gives a diagonal (place in the document less place in the item), and of
 a row of hits on one diagonal only the first goes on. There the whole item is laid on the document and compared
@@ -30,8 +30,7 @@ MASKS = ("1101101101", "1011011011", "1110011101")
 
 def tokens(text: Column) -> Column:
     """Hashes of the tokens."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\p{Z}]+", ""), r"[\s\p{Z}]+", " "))
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda t: F.xxhash64(t)))
+    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
 def _hash(m: int, mask: str, at: Column) -> Column:
@@ -39,23 +38,25 @@ def _hash(m: int, mask: str, at: Column) -> Column:
 
 
 def seeds(rows: DataFrame, masks: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """One row a mask and place: columns, th, mask, place, h, and before, the same mask's hash one place earlier."""
+    """One row a mask and place: columns, th, mask, place and h."""
     n = len(masks)
     at = F.col("k").cast("int")
-    place, mask = F.floor(at / n).cast("int"), at % n
+    place, mask = F.expr(f"cast(k div {n} as int)"), at % n
     laid = rows.select(*columns, "th", F.explode(F.when(F.size("th") > 0, F.sequence(F.lit(0), n * F.size("th") - 1))).alias("k"))
     laid = laid.select(*columns, "th", mask.alias("mask"), place.alias("place"))
 
-    def by_mask(value, otherwise=None):
+    def by_mask(value):
         return reduce(lambda c, x: c.when(F.col("mask") == x[0], value(*x)), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, value(0, masks[0])))
 
     laid = laid.filter(F.col("place") + by_mask(lambda m, x: F.lit(len(x))) <= F.size("th"))
     return laid.select(*columns, "th", "mask", "place", by_mask(lambda m, x: _hash(m, x, F.col("place"))).alias("h"))
 
 
-def _earlier(masks: tuple[str, ...]) -> Column:
-    pick = reduce(lambda c, x: c.when(F.col("mask") == x[0], _hash(*x, F.col("place") - 1)), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, _hash(0, masks[0], F.col("place") - 1)))
-    return F.when(F.col("place") > 0, pick)
+def _first_of_row(masks: tuple[str, ...]) -> Column:
+    """Whether the same mask one place earlier, in the text and in the item, is no hit."""
+    counts = F.element_at(F.array(*[F.array(*[F.lit(o) for o, bit in enumerate(m) if bit == "1"]) for m in masks]), F.col("mask") + 1)
+    earlier = F.forall(counts, lambda o: F.coalesce(F.get("th", F.col("place") - 1 + o) == F.get("item", F.col("item_place") - 1 + o), F.lit(False)))
+    return ~((F.col("place") > 0) & (F.col("item_place") > 0) & earlier)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -70,25 +71,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: in
     lengths = sorted(r[0] for r in items.select(F.size("th").alias("n")).filter(F.col("n").between(least, span - 1)).distinct().collect())  # under span values
     masks = (*MASKS, *("1" * n for n in lengths))
     own = seeds(items, masks, ("item_id",)).filter((F.col("mask") < len(MASKS)) | (F.size("th") == F.when(F.col("mask") >= len(MASKS), F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask").cast("int") + 1))))
-    own = cut(own.select("item_id", "mask", F.col("place").alias("item_place"), "h", _earlier(masks).alias("item_before")))
+    own = cut(own.select("item_id", F.col("place").alias("item_place"), "h"))
     small = own.count() <= BROADCAST_ROWS
     bound = F.broadcast if small else (lambda df: df)
+    items = bound(items.select("item_id", F.col("th").alias("item")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(text_or_empty()).alias("th"))
     laid = seeds(rows, masks, ("doc_id", "text_hash"))
-    key = ["h", "mask"]
+    diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
     if small:
-        hits = laid.join(F.broadcast(own), key).filter(F.coalesce(F.col("item_before") != _earlier(masks), F.lit(True)))
-        hits = hits.select("doc_id", "th", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
+        hits = laid.join(F.broadcast(own), "h").join(items, "item_id").filter(_first_of_row(masks)).select("doc_id", "th", "item_id", "item", diagonal)
     else:
-        narrow = laid.select("doc_id", "text_hash", "mask", "place", "h", _earlier(masks).alias("before"))
-        found = narrow.join(own, key).filter(F.coalesce(F.col("item_before") != F.col("before"), F.lit(True)))
-        found = found.select("doc_id", "text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+        found = laid.select("doc_id", "text_hash", "place", "h").join(own, "h").select("doc_id", "text_hash", "item_id", diagonal).distinct()
         same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
-        hits = rows.dropDuplicates(["doc_id", "text_hash"]).alias("d").join(found.alias("f"), same).select("d.doc_id", "d.th", "f.item_id", "f.diagonal")
-    checked = hits.join(bound(items.select("item_id", F.col("th").alias("item"))), "item_id").select(
-        "doc_id", "item_id", "diagonal", F.size("item").alias("n_item"),
-        F.transform("item", lambda t, i: F.coalesce(F.get("th", F.col("diagonal") + i) == t, F.lit(False))).alias("same"),
-    )
+        hits = rows.dropDuplicates(["doc_id", "text_hash"]).alias("d").join(found.alias("f"), same).select("d.doc_id", "d.th", "f.item_id", "f.diagonal").join(items, "item_id")
+    # the part of the document under the item; one row a diagonal goes on
+    laid_on = hits.select("doc_id", "item_id", "diagonal", "item", F.transform("item", lambda t, i: F.get("th", F.col("diagonal") + i)).alias("part"))
+    laid_on = laid_on.groupBy("doc_id", "item_id", "diagonal").agg(F.min("item").alias("item"), F.max("part").alias("part"))
+    checked = laid_on.select("doc_id", "item_id", "diagonal", F.size("item").alias("n_item"), F.zip_with("item", "part", lambda a, b: F.coalesce(a == b, F.lit(False))).alias("same"))
     best = F.aggregate("same", F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, x: F.struct(F.greatest(F.lit(0), s.run + F.when(x, 1).otherwise(-2)).alias("run"), F.greatest(s.best, s.run + F.when(x, 1).otherwise(-2)).alias("best")), lambda s: s.best)
     scored = checked.select("doc_id", "item_id", "diagonal", "n_item", F.size(F.filter("same", lambda x: x)).alias("n_match"), best.alias("stretch"))
     kept = scored.filter(F.when(F.col("n_item") < span, F.col("n_match") == F.col("n_item")).otherwise((F.col("n_match") >= share * F.col("n_item")) | (F.col("stretch") >= stretch)))
