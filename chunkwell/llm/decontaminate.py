@@ -17,8 +17,6 @@ documents with hits are joined again.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +43,12 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], columns: tuple[str, ...]) ->
     laid = rows.select(*columns, "th", F.explode(F.when(F.size("th") > 0, F.sequence(F.lit(0), n * F.size("th") - 1))).alias("k"))
     laid = laid.select(*columns, "th", mask.alias("mask"), place.alias("place"))
 
-    def by_mask(value):
-        return reduce(lambda c, x: c.when(F.col("mask") == x[0], value(*x)), list(enumerate(masks))[1:], F.when(F.col("mask") == 0, value(0, masks[0])))
-
-    laid = laid.filter(F.col("place") + by_mask(lambda m, x: F.lit(len(x))) <= F.size("th"))
-    return laid.select(*columns, "th", "mask", "place", by_mask(lambda m, x: _hash(m, x, F.col("place"))).alias("h"))
+    # the last mask needs no condition, so that the hash is never null and not computed once more to see that
+    pick = _hash(n - 1, masks[-1], F.col("place"))
+    for m in range(n - 1):
+        pick = F.when(F.col("mask") == m, _hash(m, masks[m], F.col("place"))).otherwise(pick)
+    spans = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1) if len({*map(len, masks)}) > 1 else F.lit(len(masks[0]))
+    return laid.filter(F.col("place") + spans <= F.size("th")).select(*columns, "th", "mask", "place", pick.alias("h"))
 
 
 def _first_of_row(masks: tuple[str, ...]) -> Column:
