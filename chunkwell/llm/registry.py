@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, packing, sharding, simhash, token_counts, toxicity
+from . import chat, decontaminate, html, linededup, packing, sharding, simhash, token_counts, toxicity
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, errors=2)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.length("text").cast("long").alias("n_kept"), "n_removed", "text")
@@ -50,7 +54,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_line_dedup, op4_toxicity, op6_decontamination, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_simhash, op2_html_extraction, op3_line_dedup, op4_toxicity, op6_decontamination, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
