@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, linededup, packing, sharding, simhash, token_counts, toxicity
+from . import chat, decontaminate, fingerprint, html, linededup, packing, sharding, simhash, token_counts, toxicity
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_html_extraction, op3_line_dedup, op4_toxicity, op6_decontamination, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_simhash, op2_html_extraction, op3_line_dedup, op4_toxicity, op5_fingerprints, op6_decontamination, op7_token_counts, op8_sharding, op9_packing, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
