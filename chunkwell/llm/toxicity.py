@@ -71,7 +71,11 @@ def _feature_rows(df: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(text_features(t, words)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["f"])
 
     rows = df.select(text_or_empty().alias("text")).mapInArrow(run, "f array<int>").toArrow().column(0)
-    return [np.asarray(x, dtype=np.int64) for x in rows.to_pylist()]
+    out = []
+    for chunk in rows.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [values[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def _sample(ids: DataFrame, n: int) -> int:
@@ -83,8 +87,8 @@ def _sample(ids: DataFrame, n: int) -> int:
 def choose(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int) -> np.ndarray:
     """The features whose share in P most exceeds the one that the prior leaves for the negative class."""
     n_p, n_u = max(1, len(pos)), max(1, len(unl))
-    f_p, c_p = np.unique(np.concatenate([np.zeros(0, np.int64), *pos]), return_counts=True)
-    f_u, c_u = np.unique(np.concatenate([np.zeros(0, np.int64), *unl]), return_counts=True)
+    f_p, c_p = np.unique(np.concatenate([np.zeros(0, np.int32), *pos]), return_counts=True)
+    f_u, c_u = np.unique(np.concatenate([np.zeros(0, np.int32), *unl]), return_counts=True)
     in_u = np.zeros(len(f_p))
     at = np.searchsorted(f_u, f_p)
     at_ok = np.minimum(at, max(0, len(f_u) - 1))
@@ -102,17 +106,12 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int
 
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk, by Adam over all samples."""
-    index = {f: k for k, f in enumerate(chosen.tolist())}
-
     def sparse(docs):
-        rows, cols = [], []
-        for r, doc in enumerate(docs):
-            for f in doc.tolist():
-                k = index.get(f)
-                if k is not None:
-                    rows.append(r)
-                    cols.append(k)
-        return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), len(docs)
+        rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        flat = np.concatenate([np.zeros(0, np.int32), *docs])
+        cols = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
+        hit = chosen[cols] == flat if len(chosen) else np.zeros(len(flat), dtype=bool)
+        return rows[hit], cols[hit], len(docs)
 
     p, u = sparse(pos), sparse(unl)
     d = len(chosen)
