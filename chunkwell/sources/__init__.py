@@ -1 +1 @@
-
+"""Language data and sources of embeddings and requests."""
