@@ -114,16 +114,34 @@ def fingerprints(docs: DataFrame, line_words: int, run_words: int) -> DataFrame:
     return docs.filter("text is not null").select("_doc", "_text_hash", "text").mapInArrow(run, "g long, doc long, th long, pos int")
 
 
-def extend(a: np.ndarray, b: np.ndarray, diagonal: int, places: list[int], least: int) -> list[tuple[int, int]]:
+def extend(a: np.ndarray, b: np.ndarray, diagonal: int, places: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs [from, to) of words of a that equal b's at the same place less diagonal, through the places given."""
     lo, hi = max(0, diagonal), min(len(a), len(b) + diagonal)
     same = np.concatenate([[False], a[lo:hi] == b[lo - diagonal : hi - diagonal], [False]])
     change = np.flatnonzero(same[1:] != same[:-1])
     starts, stops = change[::2] + lo, change[1::2] + lo
-    hit = np.unique(np.searchsorted(starts, np.asarray(places), side="right") - 1)
+    hit = np.unique(np.searchsorted(starts, places, side="right") - 1)
     return [(int(starts[i]), int(stops[i])) for i in hit if i >= 0 and stops[i] - starts[i] >= least]
 
 
+def matches(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray, least: int, own: bool) -> list[tuple[int, int]]:
+    """The runs through all places, given by diagonal. In a text against itself, a diagonal that is a multiple of one
+    whose run holds the place has its run within that one: such texts repeat with that period."""
+    out: list[tuple[int, int]] = []
+    held: list[tuple[int, int, int]] = []
+    cuts = np.flatnonzero(np.diff(diagonals)) + 1
+    for own_places, d in zip(np.split(places, cuts), diagonals[np.concatenate([[0], cuts])].tolist() if len(diagonals) else []):
+        if own:
+            own_places = np.array([p for p in own_places.tolist() if not any(d % e == 0 and start <= p < stop and p - d >= start - e for e, start, stop in held)], dtype=np.int64)
+            if not len(own_places):
+                continue
+        found = extend(a, b, d, own_places, least)
+        out += found
+        if own:
+            held = (held + [(d, *run) for run in found])[-64:]
+    return out
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -146,10 +164,8 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
     marks = staged(fingerprints(docs, line_words, run_words))
     first = marks.groupBy("g").agg(F.min(F.struct("doc", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("g", "f")
     later = marks.join(first, "g").filter((F.col("doc") != F.col("f.doc")) | (F.col("th") != F.col("f.th")) | (F.col("pos") != F.col("f.pos")))
-    pairs = cut(
-        later.select("doc", "th", F.col("f.doc").alias("doc0"), F.col("f.th").alias("th0"), (F.col("pos") - F.col("f.pos")).alias("diagonal"), "pos")
-        .groupBy("doc", "th", "doc0", "th0", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    )
+    place = F.struct((F.col("pos") - F.col("f.pos")).alias("diagonal"), "pos")
+    pairs = cut(later.select("doc", "th", F.col("f.doc").alias("doc0"), F.col("f.th").alias("th0"), place.alias("place")).groupBy("doc", "th", "doc0", "th0").agg(F.sort_array(F.collect_set("place")).alias("places")))
     key = [F.col("_doc") == F.col("doc"), F.col("_text_hash") == F.col("th")]
 
     # the words of the first places' documents, one row each
@@ -159,9 +175,9 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
 
     sources = docs.join(_small(cut(pairs.select(F.col("doc0").alias("doc"), F.col("th0").alias("th")).distinct())), key, "left_semi")
     sources = sources.select("_doc", "_text_hash", "text").mapInArrow(hashed, "doc0 long, th0 long, words0 binary").dropDuplicates(["doc0", "th0"])
-    found = pairs.join(sources, ["doc0", "th0"]).select("doc", "th", F.lit(1).alias("kind"), "diagonal", "places", F.col("words0").alias("body"))
+    found = pairs.join(sources, ["doc0", "th0"]).select("doc", "th", F.lit(1).alias("kind"), ((F.col("doc") == F.col("doc0")) & (F.col("th") == F.col("th0"))).alias("own"), "places", F.col("words0").alias("body"))
     targets = docs.join(_small(cut(pairs.select("doc", "th").distinct())), key, "left_semi")
-    targets = targets.select(F.col("_doc").alias("doc"), F.col("_text_hash").alias("th"), F.lit(0).alias("kind"), F.lit(0).alias("diagonal"), F.lit(None).cast("array<int>").alias("places"), F.col("text").cast("binary").alias("body"))
+    targets = targets.select(F.col("_doc").alias("doc"), F.col("_text_hash").alias("th"), F.lit(0).alias("kind"), F.lit(False).alias("own"), F.lit(None).cast("array<struct<diagonal:int,pos:int>>").alias("places"), F.col("text").cast("binary").alias("body"))
 
     def cuts(batches):
         key, text, words, runs = None, None, None, []
@@ -178,9 +194,10 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["doc", "th", "cuts"])
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(6)]
-            for k in range(batch.num_rows):
-                doc, th, kind, diagonal, places, body = (c[k].as_py() for c in columns)
+            lists = batch.column(4)
+            diagonals, positions = (lists.values.field(i).to_numpy() for i in range(2))
+            ends = lists.offsets.to_numpy()
+            for k, (doc, th, kind, own, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))):
                 if (doc, th) != key:
                     close()
                     key, text, words, runs = (doc, th), None, None, []
@@ -188,7 +205,7 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
                     if text is None:  # a repeated row is the same document
                         text, words = body.decode(), np.fromiter(map(zlib.crc32, body.split()), dtype=np.uint32)
                 else:
-                    runs += extend(words, np.frombuffer(body, dtype=np.uint32), diagonal, places, run_words)
+                    runs += matches(words, np.frombuffer(body, dtype=np.uint32), diagonals[ends[k] : ends[k + 1]], positions[ends[k] : ends[k + 1]], run_words, own)
                     if len(runs) > 1000:
                         runs = merged(runs)
             if len(out[0]) > 500:
@@ -207,11 +224,11 @@ def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFra
     if not 1 <= line_words <= run_words:
         raise ValueError("line_words must be from 1 to run_words")
     columns = [c for c in docs.columns if c.lower() != "n_removed"]
-    removed = cut(repeats(docs, line_words, run_words))
-    rows = keyed(docs.withColumn("text", F.col("text").cast("string"))).join(_small(removed), (F.col("_doc") == F.col("doc")) & (F.col("_text_hash") == F.col("th")), "left")
+    removed = cut(repeats(docs, line_words, run_words).select(F.col("doc").alias("_cut_doc"), F.col("th").alias("_cut_hash"), F.col("cuts").alias("_cuts")))
+    rows = keyed(docs.withColumn("text", F.col("text").cast("string"))).join(_small(removed), (F.col("_doc") == F.col("_cut_doc")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
     # kept parts: between the end of one cut and the start of the next
-    starts = F.concat(F.array(F.lit(0)), F.col("cuts.stop"))
-    stops = F.concat(F.col("cuts.start"), F.array(F.length("text")))
+    starts = F.concat(F.array(F.lit(0)), F.col("_cuts.stop"))
+    stops = F.concat(F.col("_cuts.start"), F.array(F.length("text")))
     kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    gone = F.aggregate("cuts", F.lit(0), lambda s, c: s + c.stop - c.start)
-    return rows.select(*[F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(gone, F.lit(0)).alias("n_removed"))
+    gone = F.aggregate("_cuts", F.lit(0), lambda s, c: s + c.stop - c.start)
+    return rows.select(*[F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(gone, F.lit(0)).alias("n_removed"))
