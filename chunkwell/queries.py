@@ -13,6 +13,7 @@ from .functions.arrays import let
 from .operators import cache
 from .operators.segment import boundaries, early_language, late_language, prepared, scores_column, segment, segment_dense, sentence_rows, stats
 from .plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
+from .plans.spread import spread
 from .sources.embeddings import embed_from_table
 from .sources.service import respond
 
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def counted(chunks: DataFrame) -> DataFrame:
