@@ -127,8 +127,14 @@ def segment_column(text: Column, o: SegmentOptions) -> Column:
     return prepared(text, o, chunked)
 
 
+def rows_of(df: DataFrame, keep: list[str], array: Column, place: str, element: str) -> DataFrame:
+    """A row for each element of a computed array. As an inner posexplode it would be computed once more, below any
+    shuffle, in a filter for empty arrays."""
+    return df.select(*keep, F.posexplode_outer(array).alias(place, element)).filter(F.col(place).isNotNull())
+
+
 def exploded(df: DataFrame, keep: list[str]) -> DataFrame:
-    out = df.select(*keep, F.posexplode("_chunks").alias("chunk_index", "_chunk"))
+    out = rows_of(df, keep, F.col("_chunks"), "chunk_index", "_chunk")
     return out.select(*keep, "chunk_index", "_chunk.text", "_chunk.sentences", "_chunk.num_tokens")
 
 
@@ -139,7 +145,7 @@ def segment(df: DataFrame, options: SegmentOptions, text: str = "text", keep: tu
 
 def sentence_rows(df: DataFrame, options: SegmentOptions, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row a sentence: the kept columns, i, sentence."""
-    return df.select(*keep, F.posexplode(prepared(F.col(text), options, lambda t, s, early: s)).alias("i", "sentence"))
+    return rows_of(df, list(keep), prepared(F.col(text), options, lambda t, s, early: s), "i", "sentence")
 
 
 def segment_dense(rows: DataFrame, options: SegmentOptions, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ from .functions import text as X
 from .functions import vectors as V
 from .functions.arrays import let
 from .operators import cache
-from .operators.segment import boundaries, early_language, late_language, prepared, scores_column, segment, segment_dense, sentence_rows, stats
+from .operators.segment import boundaries, early_language, late_language, prepared, rows_of, scores_column, segment, segment_dense, sentence_rows, stats
 from .plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
 from .plans.spread import spread
 from .sources.embeddings import embed_from_table
@@ -60,7 +60,7 @@ def normalize_with_contractions(spark, sf_dir):
 
 
 def split_sentences(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("i", "sentence"))
+    return rows_of(documents(spark, sf_dir), ["doc_id"], X.split_sentences(F.col("text")), "i", "sentence")
 
 
 def tokenize(spark, sf_dir):
@@ -117,18 +117,18 @@ def _raw_tokens():
 
 
 def document_frequency(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(V.document_frequencies(_raw_tokens())).alias("e"))
+    rows = rows_of(documents(spark, sf_dir), ["doc_id"], V.document_frequencies(_raw_tokens()), "p", "e")
     return rows.select("doc_id", F.col("e.t").alias("term"), F.col("e.df").alias("df"))
 
 
 def sentence_tfidf(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(V.tfidf(_raw_tokens())).alias("e"))
+    rows = rows_of(documents(spark, sf_dir), ["doc_id"], V.tfidf(_raw_tokens()), "p", "e")
     return rows.select("doc_id", F.col("e.i").alias("i"), F.col("e.t").alias("term"), F.round("e.w", 6).alias("weight"))
 
 
 def cohesion(o: SegmentOptions):
     def run(spark, sf_dir):
-        rows = documents(spark, sf_dir).select("doc_id", F.posexplode(scores_column(F.col("text"), o)).alias("i", "score"))
+        rows = rows_of(documents(spark, sf_dir), ["doc_id"], scores_column(F.col("text"), o), "i", "score")
         return rows.select("doc_id", "i", F.round("score", 6).alias("score"))
 
     return run
@@ -143,7 +143,7 @@ def dense_cosine_adjacent(spark, sf_dir):
 def bounds(o: SegmentOptions):
     def run(spark, sf_dir):
         marks = let(scores_column(F.col("text"), o), lambda s: boundaries(s, o))
-        return documents(spark, sf_dir).select("doc_id", F.posexplode(marks).alias("i", "brk"))
+        return rows_of(documents(spark, sf_dir), ["doc_id"], marks, "i", "brk")
 
     return run
 
