@@ -7,6 +7,11 @@ a fingerprint in common. A fingerprint's places are joined with the first of the
 place), never with each other; from there the match is extended word by word both ways, and if it has `run_words`
 words or more, the later place's run is taken out. What two different texts share is kept at its first place.
 
+A fingerprint may first stand in another context than the passage that later places share. So each run of
+`run_words` words that has its fingerprint at a later place, but is not within the match with the first place, goes
+to a second round: these runs are hashed whole and joined with their own first place, and all but that one are
+taken out. A run that does occur at its fingerprint's first place is found in the first round at each later one.
+
 A run goes from its first word to the next word kept, or to the end of the text. Words are runs without white space,
 compared as they are. Runs that overlap their own first occurrence (one word over and over) are taken out but for
 that first occurrence.
@@ -22,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded_batches, cut, staged
@@ -71,8 +76,8 @@ def line_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out[: max(0, len(words) - n + 1)]
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least hash of each window, of equal ones the last."""
+def minima(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window the place of its least hash, of equal ones the last."""
     n = len(hashes)
     if n < window:
         return np.zeros(0, dtype=np.int64)
@@ -86,7 +91,12 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         right = (b < a) | ((b == a) & (pb > pa_))
         low, at = np.where(right, b, a), np.where(right, pb, pa_)
         span += step
-    return np.unique(at)
+    return at
+
+
+def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least hash of each window, of equal ones the last."""
+    return np.unique(minima(hashes, window))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -114,28 +124,43 @@ def fingerprints(docs: DataFrame, line_words: int, run_words: int) -> DataFrame:
     return docs.filter("text is not null").select("_doc", "_text_hash", "text").mapInArrow(run, "g long, doc long, th long, pos int")
 
 
-def extend(a: np.ndarray, b: np.ndarray, diagonal: int, places: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs [from, to) of words of a that equal b's at the same place less diagonal, through the places given."""
+def extend(a: np.ndarray, b: np.ndarray, diagonal: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places the run [from, to) of words of a, through it, that equal b's at the same place less
+    diagonal; [place, place) where there is none."""
     lo, hi = max(0, diagonal), min(len(a), len(b) + diagonal)
     same = np.concatenate([[False], a[lo:hi] == b[lo - diagonal : hi - diagonal], [False]])
     change = np.flatnonzero(same[1:] != same[:-1])
     starts, stops = change[::2] + lo, change[1::2] + lo
-    hit = np.unique(np.searchsorted(starts, places, side="right") - 1)
-    return [(int(starts[i]), int(stops[i])) for i in hit if i >= 0 and stops[i] - starts[i] >= least]
+    if not len(starts):
+        return places, places
+    at = np.searchsorted(starts, places, side="right") - 1
+    hit = (at >= 0) & (places < stops[at])
+    return np.where(hit, starts[at], places), np.where(hit, stops[at], places)
 
 
-def matches(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray, least: int, own: bool) -> list[tuple[int, int]]:
-    """The runs through all places, given by diagonal. In a text against itself, a diagonal that is a multiple of one
+def matches(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray, least: int, own: bool, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of `least` words or more through all places, given by diagonal. low and high take, at each place, the
+    part of a around it that is known to equal b's. In a text against itself, a diagonal that is a multiple of one
     whose run holds the place has its run within that one: such texts repeat with that period."""
     out: list[tuple[int, int]] = []
     held: list[tuple[int, int, int]] = []
     cuts = np.flatnonzero(np.diff(diagonals)) + 1
     for own_places, d in zip(np.split(places, cuts), diagonals[np.concatenate([[0], cuts])].tolist() if len(diagonals) else []):
-        if own:
-            own_places = np.array([p for p in own_places.tolist() if not any(d % e == 0 and start <= p < stop and p - d >= start - e for e, start, stop in held)], dtype=np.int64)
+        if own and held:
+            left = []
+            for p in own_places.tolist():
+                run = next(((e, start, stop) for e, start, stop in held if d % e == 0 and start <= p < stop and p - d >= start - e), None)
+                if run is None:
+                    left.append(p)
+                else:
+                    low[p], high[p] = run[1] - run[0] + d, run[2]
+            own_places = np.array(left, dtype=np.int64)
             if not len(own_places):
                 continue
-        found = extend(a, b, d, own_places, least)
+        starts, stops = extend(a, b, d, own_places)
+        low[own_places], high[own_places] = starts, stops
+        long = stops - starts >= least
+        found = sorted(set(zip(starts[long].tolist(), stops[long].tolist())))
         out += found
         if own:
             held = (held + [(d, *run) for run in found])[-64:]
@@ -158,7 +183,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFrame:
-    """doc, th and cuts: the spans of code points (from 0, [from, to)) to take out of each document that has any."""
+    """doc, th, start and stop: the spans of code points (from 0, [from, to)) to take out, apart and in no order."""
     bounded_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", "text"))
     marks = staged(fingerprints(docs, line_words, run_words))
@@ -181,17 +206,36 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
 
     def cuts(batches):
         key, text, words, runs = None, None, None, []
-        out: list[list] = [[], [], []]
+        low = high = None  # at each place of a fingerprint, the part that equals its first place's; else -1
+        out: list[list] = [[], [], [], [], []]
+
+        def give(h, start, stop):
+            out[0].append(np.full(len(h), key[0], dtype=np.int64))
+            out[1].append(np.full(len(h), key[1], dtype=np.int64))
+            out[2].append(h)
+            out[3].append(start)
+            out[4].append(stop)
 
         def close():
+            if low is None:
+                return
+            mark = minima(line_hashes(words, line_words), run_words - line_words + 1)
+            at = np.arange(len(mark))
+            open_ = np.flatnonzero((low[mark] >= 0) & ((low[mark] > at) | (at + run_words > high[mark])))
+            if not runs and not len(open_):
+                return
+            spans = np.array(spans_of(text), dtype=np.int32).reshape(-1, 2)
+            starts = np.append(spans[:, 0], np.int32(len(text)))  # a run goes to the next word or the end of the text
             if runs:
-                spans = spans_of(text)
-                out[0].append(key[0])
-                out[1].append(key[1])
-                out[2].append([{"start": spans[a][0], "stop": spans[b][0] if b < len(spans) else len(text)} for a, b in merged(runs)])
+                found = np.array(merged(runs), dtype=np.int64)
+                give(np.ma.masked_all(len(found), dtype=np.int64), starts[found[:, 0]], starts[found[:, 1]])
+            if len(open_):
+                give(np.ma.array(line_hashes(words, run_words)[open_].view(np.int64)), starts[open_], starts[open_ + run_words])
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["doc", "th", "cuts"])
+            h = np.ma.concatenate(out[2])
+            columns = [pa.array(np.concatenate(c)) for c in (out[0], out[1])] + [pa.array(h.filled(0), mask=np.ma.getmaskarray(h))] + [pa.array(np.concatenate(c), pa.int32()) for c in out[3:]]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "th", "h", "start", "stop"])
 
         for batch in batches:
             lists = batch.column(4)
@@ -200,23 +244,39 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataF
             for k, (doc, th, kind, own, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))):
                 if (doc, th) != key:
                     close()
-                    key, text, words, runs = (doc, th), None, None, []
+                    key, text, words, runs, low, high = (doc, th), None, None, [], None, None
                 if kind == 0:
                     if text is None:  # a repeated row is the same document
                         text, words = body.decode(), np.fromiter(map(zlib.crc32, body.split()), dtype=np.uint32)
                 else:
-                    runs += matches(words, np.frombuffer(body, dtype=np.uint32), diagonals[ends[k] : ends[k + 1]], positions[ends[k] : ends[k + 1]], run_words, own)
+                    if low is None:
+                        low, high = np.full(len(words), -1, dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
+                    runs += matches(words, np.frombuffer(body, dtype=np.uint32), diagonals[ends[k] : ends[k + 1]], positions[ends[k] : ends[k + 1]], run_words, own, low, high)
                     if len(runs) > 1000:
                         runs = merged(runs)
-            if len(out[0]) > 500:
+            if sum(map(len, out[0])) > 5000:
                 yield batch_of()
-                out = [[], [], []]
+                out = [[], [], [], [], []]
         close()
         if out[0]:
             yield batch_of()
 
     rows = targets.unionByName(found).repartition("doc", "th").sortWithinPartitions("doc", "th", "kind")
-    return rows.mapInArrow(cuts, "doc long, th long, cuts array<struct<start:int,stop:int>>")
+    made = staged(rows.mapInArrow(cuts, "doc long, th long, h long, start int, stop int"))
+    # the second round: runs that the first places of their fingerprints do not hold
+    open_ = made.filter("h is not null")
+    first = open_.groupBy("h").agg(F.min(F.struct("doc", "th", "start")).alias("f"), F.max(F.struct("doc", "th", "start")).alias("l")).filter("f <> l").select("h", "f")
+    later = open_.join(first, "h").filter((F.col("doc") != F.col("f.doc")) | (F.col("th") != F.col("f.th")) | (F.col("start") != F.col("f.start")))
+    return made.filter("h is null").select("doc", "th", "start", "stop").unionByName(later.select("doc", "th", "start", "stop"))
+
+
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """doc, th and cuts: the spans of each document in order, those that touch or overlap as one."""
+    by = Window.partitionBy("doc", "th").orderBy("start", "stop")
+    before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc", "th", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
 
 
 def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFrame:
@@ -224,7 +284,7 @@ def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFra
     if not 1 <= line_words <= run_words:
         raise ValueError("line_words must be from 1 to run_words")
     columns = [c for c in docs.columns if c.lower() != "n_removed"]
-    removed = cut(repeats(docs, line_words, run_words).select(F.col("doc").alias("_cut_doc"), F.col("th").alias("_cut_hash"), F.col("cuts").alias("_cuts")))
+    removed = cut(joined_spans(repeats(docs, line_words, run_words)).select(F.col("doc").alias("_cut_doc"), F.col("th").alias("_cut_hash"), F.col("cuts").alias("_cuts")))
     rows = keyed(docs.withColumn("text", F.col("text").cast("string"))).join(_small(removed), (F.col("_doc") == F.col("_cut_doc")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
     # kept parts: between the end of one cut and the start of the next
     starts = F.concat(F.array(F.lit(0)), F.col("_cuts.stop"))

@@ -73,3 +73,20 @@ def test_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.text == text, r.text == "") for r in D.dedup(rows).collect()) == [(1, True, False), (1, True, False), (2, False, True)]
     with pytest.raises(ValueError):
         D.dedup(rows, 60, 50)
+
+
+def test_a_short_first_occurrence(spark):
+    """The fingerprint's line stands in another context first; the passage around it is shared by later texts only."""
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other, docs = words(30), words(10), []
+    for i in range(len(passage) - 4):  # each line of the passage first stands alone
+        docs.append((i, words(3) + passage[i : i + 5] + words(3)))
+    docs += [(100, words(4) + passage), (101, passage + words(2)), (102, words(3) + passage[8:] + other), (103, passage[14:] + other), (104, words(6) + passage[20:25])]
+    docs += [(105, ["to"] * 7), (106, ["to"] * 40), (107, words(2) + ["to"] * 40 + words(2))]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    got = {r.doc_id: r.text for r in D.dedup(spark.createDataFrame(docs, "doc_id long, text string"), line_words=5, run_words=10).collect()}
+    expected = brute(docs, 10)
+    assert len(expected[101]) == 30 and len(expected[103]) == 26
+    for i, text in docs:
+        assert D.words_of(got[i]) == [w for k, w in enumerate(D.words_of(text)) if k not in expected[i]], i
