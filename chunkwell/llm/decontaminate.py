@@ -2,12 +2,16 @@
 
 Tokens are runs of letters and digits in lower case. A seed is a
 mask laid on consecutive tokens: the positions that it ignores may differ. Seeds of benchmark items and of
-documents are hashed and joined. Each hit gives a diagonal (place in the document less place in the item), and of
-a row of hits on one diagonal only the first goes on. There the whole item is laid on the document and compared
+documents are hashed and joined. An item is cut into groups of five tokens; its seeds are any three tokens of a group.
+If 0.6 of an item's tokens are in their places, three are in some full group, and so they are in a stretch of 12: no
+leak is without a hit. A smaller `share` or `stretch` has no such guarantee.
+
+Each hit gives a diagonal (place in the document less place in the item), and of
+a row of hits on one diagonal and in one group only the first goes on. There the whole item is laid on the document and compared
 token by token: it counts as a leak if `share` of the item's tokens are in their places, or if some stretch reaches
 `stretch` with 1 for each token in place and -2 for each other.
 
-Items that are shorter than the masks' span but have `least` tokens or more match only whole and exactly; shorter
+Items that are shorter than ten tokens but have `least` tokens or more match only whole and exactly; shorter
 ones never. Benchmark items with equal tokens are one item, named by the least item_id. Null and empty texts have
 no tokens. Rows with one doc_id are one document. Extra columns are not carried. Empty tables give no rows.
 
@@ -22,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, text_or_empty
 
-#: 1: the token counts, 0: it may differ.
-MASKS = ("1101101101", "1011011011", "1110011101")
+#: Tokens of an item that its seeds are taken from together.
+GROUP = 5
+#: 1: the token counts, 0: it may differ. The shapes of any three tokens of a group.
+MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
+#: Items with fewer tokens match only whole.
+WHOLE_BELOW = 10
 
 
 def tokens(text: Column) -> Column:
@@ -52,10 +60,10 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], columns: tuple[str, ...]) ->
 
 
 def _first_of_row(masks: tuple[str, ...]) -> Column:
-    """Whether the same mask one place earlier, in the text and in the item, is no hit."""
+    """Whether the same mask one place earlier, in the text and in the item, is no hit of the same group."""
     counts = F.element_at(F.array(*[F.array(*[F.lit(o) for o, bit in enumerate(m) if bit == "1"]) for m in masks]), F.col("mask") + 1)
     earlier = F.forall(counts, lambda o: F.coalesce(F.get("th", F.col("place") - 1 + o) == F.get("item", F.col("item_place") - 1 + o), F.lit(False)))
-    return ~((F.col("place") > 0) & (F.col("item_place") > 0) & earlier)
+    return ~((F.col("place") > 0) & (F.col("item_place") % GROUP > 0) & earlier)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -66,10 +74,12 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: int = 12, least: int = 5) -> DataFrame:
     """doc_id, item_id, place (of the item's first token in the document), n_match, n_item: the best diagonal of each leak."""
     items = cut(items_of(benchmark))
-    span = len(MASKS[0])
-    lengths = sorted(r[0] for r in items.select(F.size("th").alias("n")).filter(F.col("n").between(least, span - 1)).distinct().collect())  # under span values
+    lengths = sorted(r[0] for r in items.select(F.size("th").alias("n")).filter(F.col("n").between(least, WHOLE_BELOW - 1)).distinct().collect())  # under WHOLE_BELOW values
     masks = (*MASKS, *("1" * n for n in lengths))
-    own = seeds(items, masks, ("item_id",)).filter((F.col("mask") < len(MASKS)) | (F.size("th") == F.when(F.col("mask") >= len(MASKS), F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask").cast("int") + 1))))
+    length = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask").cast("int") + 1)
+    group = F.floor(F.col("place") / GROUP)
+    in_group = (F.size("th") >= WHOLE_BELOW) & (group == F.floor((F.col("place") + length - 1) / GROUP)) & ((group + 1) * GROUP <= F.size("th"))
+    own = seeds(items, masks, ("item_id",)).filter(F.when(F.col("mask") < len(MASKS), in_group).otherwise(F.size("th") == length))
     own = cut(own.select("item_id", F.col("place").alias("item_place"), "h"))
     small = own.count() <= BROADCAST_ROWS
     bound = F.broadcast if small else (lambda df: df)
@@ -89,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: in
     checked = laid_on.select("doc_id", "item_id", "diagonal", F.size("item").alias("n_item"), F.zip_with("item", "part", lambda a, b: F.coalesce(a == b, F.lit(False))).alias("same"))
     best = F.aggregate("same", F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, x: F.struct(F.greatest(F.lit(0), s.run + F.when(x, 1).otherwise(-2)).alias("run"), F.greatest(s.best, s.run + F.when(x, 1).otherwise(-2)).alias("best")), lambda s: s.best)
     scored = checked.select("doc_id", "item_id", "diagonal", "n_item", F.size(F.filter("same", lambda x: x)).alias("n_match"), best.alias("stretch"))
-    kept = scored.filter(F.when(F.col("n_item") < span, F.col("n_match") == F.col("n_item")).otherwise((F.col("n_match") >= share * F.col("n_item")) | (F.col("stretch") >= stretch)))
+    kept = scored.filter(F.when(F.col("n_item") < WHOLE_BELOW, F.col("n_match") == F.col("n_item")).otherwise((F.col("n_match") >= share * F.col("n_item")) | (F.col("stretch") >= stretch)))
     top = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_match", -F.col("diagonal"), "n_item")).alias("m"))
     return top.select("doc_id", "item_id", (-F.col("m.col2")).cast("long").alias("place"), F.col("m.n_match").cast("long").alias("n_match"), F.col("m.n_item").cast("long").alias("n_item"))
 

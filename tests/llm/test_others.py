@@ -59,6 +59,37 @@ def test_decontamination(spark):
     assert clean == {i for i, _ in docs} - {i for i, _ in expected} - {None}
 
 
+def test_decontamination_finds_all_that_it_accepts(spark):
+    """Items with replaced tokens, by period and at random, against every diagonal tried."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = [[word() for _ in range(n)] for n in (10, 11, 13, 14, 15, 17, 20, 24, 30, 45)]
+    docs = []
+    for item in items:
+        n = len(item)
+        gone = [{k for k in range(n) if k % period == phase} for period in range(2, 9) for phase in range(period)]
+        gone += [set(rng.sample(range(n), round(n * part))) for part in (0.1, 0.2, 0.25, 0.3, 0.35, 0.4) for _ in range(4)]
+        gone += [set(range(k)) for k in (2, 3, 4)] + [set(range(n - k, n)) for k in (2, 3, 4)]
+        for g in gone:
+            docs.append([word() for _ in range(rng.randint(0, 6))] + ["zzz" if k in g else w for k, w in enumerate(item)] + [word() for _ in range(rng.randint(0, 6))])
+        docs += [item[3:], item[:-3], [w for w in item if rng.random() < 0.5]]
+
+    def leaks_in(doc, item):
+        for d in range(-len(item), len(doc)):
+            same = [0 <= d + k < len(doc) and doc[d + k] == w for k, w in enumerate(item)]
+            run = best = 0
+            for x in same:
+                run = max(0, run + (1 if x else -2))
+                best = max(best, run)
+            if sum(same) >= 0.6 * len(item) or best >= 12:
+                return True
+        return False
+
+    expected = {(i, k) for i, doc in enumerate(docs) for k, item in enumerate(items) if leaks_in(doc, item)}
+    rows = lambda texts, name: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], f"{name} long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows(docs, "doc_id"), rows(items, "item_id")).collect()} == expected
+
+
 def test_large_benchmarks_give_the_same(spark, monkeypatch):
     text = " ".join(f"t{i}" for i in range(30))
     d = spark.createDataFrame([(1, "x " + text), (1, "x " + text), (2, "y")], "doc_id long, text string")
