@@ -1,7 +1,6 @@
 """Language data: stopwords, affixes and dotted contractions of the supported languages.
 
-Another resource can be loaded from a JSON file (see load): the same three parts under each language's name. The
-built-in Indonesian stopwords are a core of words of at most five letters; the long list is for such a file.
+Another resource can be loaded from a JSON file (see load): the same three parts under each language's name.
 """
 
 from __future__ import annotations
@@ -69,15 +68,55 @@ wann war waren warst was weg weil weiter welche welchem welchen welcher welches
 wir wird wirst wo wollen wollt zu zum zur zwar zwischen über
 """
 
+# Taken whole from the reference's stopwords.json; its license is in LICENSE.stopwords beside this file.
 INDONESIAN_WORDS = """
-ada agak agar akan akhir aku amat anda antar apa apaan atau atas bagi bahwa bakal balik bapak baru bawah belum benar beri besar
-betul biasa bila bisa boleh buat bukan bulan bung cara cukup cuma dalam dan dapat dari demi depan di dia dini diri dong dua dulu
-empat entah guna hal hanya hari harus ia ialah ibu ikut ingat ingin ini itu jadi jauh jawab jelas jika juga kala kalau kami kamu
-kan kapan kasus kata ke kecil kedua kelak kini kira kita kok lagi lah lain lalu lama lebih lewat lima luar macam maka makin malah
-mampu mana masa masih mau meski minta mirip misal mula mulai nah naik namun nanti oleh pada pak para pasti per perlu pihak pukul
-pula pun punya rasa rata saat saja sama sana satu saya se sebab sebut sejak sela semua serta siap siapa sini suatu sudah tadi tahu
-tahun tak tanpa tanya tapi tegas telah tentu terus tetap tiap tidak tiga toh turut turur ucap ujar umum untuk usah usai wah wahai
-waktu walau waduh ya yaitu yakni yang
+ada adalah adanya adapun agak agaknya agar akan akankah akhir akhiri akhirnya aku akulah amat amatlah anda andalah antar antara
+antaranya apa apaan apabila apakah apalagi apatah atas atau bagaimana bagaimanakah bagaimanapun bagi bagian bahkan bahwa
+bahwasanya bakal bakalan balik banyak bapak baru bawah beberapa begini beginian beginikah beginilah begitu begitukah begitulah
+begitupun bekerja belakang belakangan belum belumlah benar benarkah benarlah berada berakhir berakhirlah berakhirnya berapa
+berapakah berapalah berapapun berarti berawal berbagai berdatangan beri berikan berikut berikutnya berjumlah berkali-kali
+berkata berkehendak berkeinginan berkenaan berlainan berlalu berlangsung berlebihan bermacam bermacam-macam bermaksud bermula
+bersama bersama-sama bersiap bersiap-siap bertanya bertanya-tanya berturut berturut-turut bertutur berujar berupa besar betul
+betulkah biasa biasanya bila bilakah bisa bisakah boleh bolehkah bolehlah buat bukan bukankah bukanlah bukannya bulan bung cara
+caranya cukup cukupkah cukuplah cuma dahulu dalam dan dapat dari daripada datang demi demikian demikianlah dengan depan di dia
+diakhiri diakhirinya dialah diantara diantaranya dibuat dibuatnya didapat didatangkan digunakan diibaratkan diibaratkannya
+diingat diingatkan diinginkan dijawab dijelaskan dijelaskannya dikarenakan dikatakan dikatakannya dikerjakan diketahui
+diketahuinya dikira dilakukan dilalui dilihat dimaksud dimaksudkan dimaksudkannya dimaksudnya diminta dimintai dimisalkan
+dimulai dimulailah dimulainya dimungkinkan dini dipastikan diperbuat diperbuatnya dipergunakan diperkirakan diperlihatkan
+diperlukan diperlukannya dipersoalkan dipertanyakan dipunyai diri dirinya disampaikan disebut disebutkan disebutkannya disini
+disinilah ditambahkan ditandaskan ditanya ditanyai ditanyakan ditegaskan ditujukan ditunjuk ditunjuki ditunjukkan ditunjukkannya
+ditunjuknya dituturkan dituturkannya diucapkan diucapkannya diungkapkan dong dua dulu empat enggak enggaklah entah entahlah guna
+gunakan hal hampir hanya hanyalah hari harus haruslah harusnya hendak hendaklah hendaknya hingga ia ialah ibarat ibaratnya ibu
+ikut ingat ingat-ingat ingin inginkah inginkan ini inikah inilah itu itukah itulah jadi jadilah jadinya jangan jangankan
+janganlah jauh jawab jawaban jawabnya jelas jelaslah jelasnya jika jikalau juga jumlah jumlahnya justru kala kalau kalaulah
+kalaupun kalian kami kamilah kamu kamulah kan kapan kapankah kapanpun karena karenanya kasus kata katakan katakanlah katanya ke
+keadaan kebetulan kecil kedua keduanya keinginan kelak kelima keluar kembali kemudian kemungkinan kemungkinannya kenapa kepada
+kepadanya kesampaian keseluruhan keseluruhannya keterlaluan ketika khususnya kini kinilah kira kira-kira kiranya kita kitalah
+kok lagi lagian lah lain lainnya lalu lama lamanya lanjut lanjutnya lebih lewat lima luar macam maka makanya makin malah malahan
+mampu mampukah mana manakala manalagi masa masalah masalahnya masih masihkah masing masing-masing mau maupun melainkan melakukan
+melalui melihat melihatnya memang memastikan memberi memberikan membuat memerlukan memihak meminta memintakan memisalkan
+memperbuat mempergunakan memperkirakan memperlihatkan mempersiapkan mempersoalkan mempertanyakan mempunyai memulai memungkinkan
+menaiki menjadi menjawab menjelaskan menuju menurut menuturkan menyampaikan menyangkut menyatakan menyebutkan menyeluruh
+menyiapkan merasa mereka merekalah merupakan meski meskipun meyakini meyakinkan minta mirip misal misalkan misalnya mula mulai
+mulailah mulanya mungkin mungkinkah nah naik namun nanti nantinya nyaris nyatanya oleh olehnya pada padahal padanya pak paling
+panjang pantas para pasti pastilah penting pentinglah pentingnya per percuma perlu perlukah perlunya pernah persoalan pertama
+pertama-tama pertanyaan pertanyakan pihak pihaknya pukul pula pun punya rasa rasanya rata rupanya saat saatnya saja sajalah
+saling sama sama-sama sambil sampai sampai-sampai sana sangat sangatlah satu saya sayalah se sebab sebabnya sebagai sebagaimana
+sebagainya sebagian sebaik sebaik-baiknya sebaiknya sebaliknya sebanyak sebelum sebelumnya sebenarnya seberapa sebesar
+sebetulnya sebisanya sebuah sebut sebutlah sebutnya secara secukupnya sedang sedangkan sedemikian sedikit sedikitnya seenaknya
+segala segalanya segera seharusnya sehingga seingat sejak sejauh sejenak sejumlah sekadar sekadarnya sekali sekali-kali sekalian
+sekaligus sekalipun sekarang sekaranglah sekecil seketika sekiranya sekitar sekitarnya sela selain selaku selalu selama
+selama-lamanya selamanya selanjutnya seluruh seluruhnya semacam semakin semampu semampunya semasa semasih semata semata-mata
+semaunya sementara semisal semisalnya sempat semua semuanya semula sendiri sendirian sendirinya seolah seolah-olah seorang
+sepanjang sepantasnya sepantasnyalah seperlunya seperti sepertinya sepeserpun sering seringnya serta serupa sesaat sesama
+sesampai sesegera sesekali seseorang sesuatu sesuatunya sesudah sesudahnya setelah setempat setengah seterusnya setiap setiba
+setibanya setidak-tidaknya setidaknya setinggi seusai sewaktu siap siapa siapakah siapapun sini sinilah suatu sudah sudahkah
+sudahlah supaya tadi tadinya tahu tahun tak tambah tambahnya tampak tampaknya tandas tandasnya tanpa tanya tanyakan tanyanya
+tapi tegas tegasnya telah tempat tengah tentang tentu tentulah tentunya terakhir terasa terbanyak terdahulu terdapat terdiri
+terhadap terhadapnya teringat teringat-ingat terjadi terjadilah terjadinya terkira terlalu terlebih terlihat termasuk ternyata
+tersampaikan tersebut tersebutlah terserah tertentu tertuju terus terutama tetap tetapi tiap tidak tidakkah tidaklah tiga toh
+tunjuk turur turut tuturnya ucap ucapnya ujar ujarnya umum umumnya ungkap ungkapnya untuk usah usai waduh wah wahai waktu
+waktunya walau walaupun ya yaitu yakni yang
 """
 
 ITALIAN_WORDS = """

@@ -49,3 +49,10 @@ def test_languages():
     counts = {n: len(set(x.stopwords)) for n, x in LANGUAGES.items()}
     assert (counts["english"], counts["german"], counts["french"], counts["spanish"]) == (126, 176, 80, 304)
     assert {x.script for x in LANGUAGES.values()} == {"Latin", "Cyrillic", "Arabic"}
+
+
+def test_stopwords_are_whole():
+    """The distinct counts of SURVEY 1.4."""
+    expected = {"arabic": 62, "dutch": 107, "english": 126, "french": 80, "german": 176, "indonesian": 693, "italian": 203, "portuguese": 193, "russian": 159, "spanish": 304, "vietnamese": 63}
+    assert {n: len(set(x.stopwords)) for n, x in LANGUAGES.items()} == expected
+    assert {"adalah", "adanya", "akhirnya"} <= set(LANGUAGES["indonesian"].stopwords)
