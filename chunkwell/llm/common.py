@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df has not."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any(f"_{n}{tail}" in taken for n in names):
+        tail += "_"
+    return [f"_{n}{tail}" for n in names]
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast a narrow table whose counted rows are within BROADCAST_ROWS; else leave the join to Spark."""
     n = df.count() if rows is None else rows

@@ -1,95 +1,50 @@
 """Repeated passages, found by winnowing over line hashes, and their later occurrences taken out.
 
-Passages repeat at any place of a text, so a text is wrapped into lines anew at each of its words: line i is the
-run of `line_words` words from word i. Of the hashes of each window of lines that together span `run_words` words,
-the least is a fingerprint (of equal ones the last), so that any run of `run_words` words that two places share has
-a fingerprint in common. A fingerprint's places are joined with the first of them only (least doc_id, then
-place), never with each other; from there the match is extended word by word both ways, and if it has `run_words`
-words or more, the later place's run is taken out. What two different texts share is kept at its first place.
-
-A fingerprint may first stand in another context than the passage that later places share. So each run of
-`run_words` words that has its fingerprint at a later place, but is not within the match with the first place, goes
-to a second round: these runs are hashed whole and joined with their own first place, and all but that one are
-taken out. A run that does occur at its fingerprint's first place is found in the first round at each later one.
-
-A run goes from its first word to the next word kept, or to the end of the text. Words are runs without white space,
-compared as they are. Runs that overlap their own first occurrence (one word over and over) are taken out but for
-that first occurrence.
-
-Null texts stay null, empty texts empty. Rows with one doc_id and one text are one document: what is taken out of
-one is taken out of all. Null ids sort first. Extra columns pass through. Empty tables give empty tables.
+Passages repeat at any place of a text, so a text is wrapped into lines anew at each of its words: line i is the run
+of `line_words` words from word i. Of the hashes of each window of lines that together span `run_words` words, the
+least is a fingerprint (of equal ones the last): what a window selects depends on its words alone, so places that
+share a run of `run_words` words select the same fingerprint at the same word of it. The text's own lines (between
+newlines) of `least_line` words or more, but under `run_words`, are fingerprints too.
+
+1. Fingerprints are counted over all documents; one that stands once goes no further.
+2. Places of repeated fingerprints are extended both ways, to each window that selected them: such a window's run of
+   `run_words` words, or the line, is hashed whole.
+3. Equal runs are joined with the first of them (least doc_id, then text, then place), and all others are later ones.
+
+A match of more words is a row of windows, each with its fingerprint, so the union of the later windows is the match
+extended as far as it goes; no occurrence is compared with one chosen partner only, and none is missed. Runs are equal
+if their 64-bit hashes are. A run that repeats within its document, overlaps included, is later there as well.
+
+A run goes from its first word to the next word kept, or to the end of the text. Words are what ASCII white space
+separates, compared as they are. Null texts stay null, empty texts empty. Rows with one doc_id and one text are one
+document: what is taken out of one is taken out of all. Null ids sort first. Extra columns pass through, whatever
+their names; n_removed is replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, cut, staged
-
-WORD = re.compile(r"\S+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplication is invertible
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, text.encode().split()), dtype=np.uint32)
-
-
-def words_of(text: str) -> list[str]:
-    """As bytes.split() cuts: at ASCII white space only."""
-    return re.findall(r"[^ \t-\r]+", text)
-
-
-def spans_of(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
+from .common import bounded_batches, cut, fresh, released, staged
+from .words import Words, batch_words, mix, run_hashes
 
-
-def line_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words, by doubling."""
-
-    def mix(h):
-        h = h ^ (h >> np.uint64(32))
-        h = h * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
-
-    done, size, out = words.astype(np.uint64), 1, None
-    done = mix(done + np.uint64(1))
-    covered, bits = 0, n
-    while bits:
-        if bits & 1:
-            if out is None:
-                out, covered = done, size
-            else:
-                m = min(len(out), len(done) - covered)
-                out = mix(out[: max(0, m)] * _MULTIPLIER + done[covered : covered + max(0, m)])
-                covered += size
-        bits >>= 1
-        if bits:
-            m = max(0, len(done) - size)
-            done = mix(done[:m] * _MULTIPLIER + done[size : size + m])
-            size *= 2
-    return out[: max(0, len(words) - n + 1)]
+_LINE, _RUN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # set lines and runs apart
+_LOW = (1 << 32) - 1
 
 
 def minima(hashes: np.ndarray, window: int) -> np.ndarray:
     """For each window the place of its least hash, of equal ones the last."""
-    n = len(hashes)
-    if n < window:
+    if len(hashes) < window:
         return np.zeros(0, dtype=np.int64)
-    low = hashes.copy()
-    at = np.arange(n)
-    span = 1
-    while span < window:  # sparse-table minima: doubling, the last step overlaps
+    low, at, span = hashes, np.arange(len(hashes)), 1
+    while span < window:  # by doubling; the last step overlaps
         step = min(span, window - span)
         m = len(low) - step
-        a, b, pa_, pb = low[:m], low[step:], at[:m], at[step:]
-        right = (b < a) | ((b == a) & (pb > pa_))
-        low, at = np.where(right, b, a), np.where(right, pb, pa_)
+        right = low[step:] <= low[:m]
+        low, at = np.where(right, low[step:], low[:m]), np.where(right, at[step:], at[:m])
         span += step
     return at
 
@@ -99,196 +54,137 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(minima(hashes, window))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The key of a document: its id, and a hash of its text and of whether the id is null."""
-    doc = F.col("doc_id").cast("long")
-    return docs.withColumn("_doc", F.coalesce(doc, F.lit(-(1 << 63)).cast("long"))).withColumn("_text_hash", F.xxhash64(doc.isNull(), F.col("text")))
+def _windows(w: Words, lines: np.ndarray, line_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the windows that lie within one row, and the words at which they have their fingerprints."""
+    at = minima(lines, run_words - line_words + 1)
+    own = np.flatnonzero(w.row[: len(at)] == w.row[run_words - 1 : run_words - 1 + len(at)])
+    return own, at[own]
 
 
-def fingerprints(docs: DataFrame, line_words: int, run_words: int) -> DataFrame:
+def _own_lines(w: Words, lines: np.ndarray, line_words: int, run_words: int, least_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word after the last and hash of the texts' own lines. Two runs of line_words cover such a line."""
+    ends = np.append(np.flatnonzero(w.line[1:] != w.line[:-1]) + 1, len(w.line))[: len(w.line)]
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    n = ends - starts
+    good = (n >= least_line) & (n < run_words)
+    starts, ends, n = starts[good], ends[good], n[good]
+    return starts, ends, mix(lines[starts] * _LINE + lines[ends - line_words] + n.astype(np.uint64))
+
+
+def fingerprints(docs: DataFrame, line_words: int, run_words: int, least_line: int) -> DataFrame:
+    """g, doc, at: a row a fingerprint's place; at has the text's hash above and the word (a line's: less than 0) below."""
+
     def run(batches):
         for batch in batches:
-            docs_, hashes, texts = (batch.column(i) for i in range(3))
-            out = [[], [], [], []]
-            for k, text in enumerate(texts.to_pylist()):
-                h = line_hashes(word_hashes(text), line_words)
-                places = winnow(h, run_words - line_words + 1)
-                if len(places):
-                    out[0].append(h[places].view(np.int64))
-                    out[1].append(np.full(len(places), docs_[k].as_py(), dtype=np.int64))
-                    out[2].append(np.full(len(places), hashes[k].as_py(), dtype=np.int64))
-                    out[3].append(places.astype(np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["g", "doc", "th", "pos"])
-
-    return docs.filter("text is not null").select("_doc", "_text_hash", "text").mapInArrow(run, "g long, doc long, th long, pos int")
-
-
-def extend(a: np.ndarray, b: np.ndarray, diagonal: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the places the run [from, to) of words of a, through it, that equal b's at the same place less
-    diagonal; [place, place) where there is none."""
-    lo, hi = max(0, diagonal), min(len(a), len(b) + diagonal)
-    same = np.concatenate([[False], a[lo:hi] == b[lo - diagonal : hi - diagonal], [False]])
-    change = np.flatnonzero(same[1:] != same[:-1])
-    starts, stops = change[::2] + lo, change[1::2] + lo
-    if not len(starts):
-        return places, places
-    at = np.searchsorted(starts, places, side="right") - 1
-    hit = (at >= 0) & (places < stops[at])
-    return np.where(hit, starts[at], places), np.where(hit, stops[at], places)
-
-
-def matches(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, places: np.ndarray, least: int, own: bool, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
-    """The runs of `least` words or more through all places, given by diagonal. low and high take, at each place, the
-    part of a around it that is known to equal b's. In a text against itself, a diagonal that is a multiple of one
-    whose run holds the place has its run within that one: such texts repeat with that period."""
-    out: list[tuple[int, int]] = []
-    held: list[tuple[int, int, int]] = []
-    cuts = np.flatnonzero(np.diff(diagonals)) + 1
-    for own_places, d in zip(np.split(places, cuts), diagonals[np.concatenate([[0], cuts])].tolist() if len(diagonals) else []):
-        if own and held:
-            left = []
-            for p in own_places.tolist():
-                run = next(((e, start, stop) for e, start, stop in held if d % e == 0 and start <= p < stop and p - d >= start - e), None)
-                if run is None:
-                    left.append(p)
-                else:
-                    low[p], high[p] = run[1] - run[0] + d, run[2]
-            own_places = np.array(left, dtype=np.int64)
-            if not len(own_places):
-                continue
-        starts, stops = extend(a, b, d, own_places)
-        low[own_places], high[own_places] = starts, stops
-        long = stops - starts >= least
-        found = sorted(set(zip(starts[long].tolist(), stops[long].tolist())))
-        out += found
-        if own:
-            held = (held + [(d, *run) for run in found])[-64:]
-    return out
-
-
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _small(df: DataFrame) -> DataFrame:
-    n = df.count()
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFrame:
-    """doc, th, start and stop: the spans of code points (from 0, [from, to)) to take out, apart and in no order."""
-    bounded_batches(docs.sparkSession)
-    docs = keyed(docs.select("doc_id", "text"))
-    marks = staged(fingerprints(docs, line_words, run_words))
-    first = marks.groupBy("g").agg(F.min(F.struct("doc", "th", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("g", "f")
-    later = marks.join(first, "g").filter((F.col("doc") != F.col("f.doc")) | (F.col("th") != F.col("f.th")) | (F.col("pos") != F.col("f.pos")))
-    place = F.struct((F.col("pos") - F.col("f.pos")).alias("diagonal"), "pos")
-    pairs = cut(later.select("doc", "th", F.col("f.doc").alias("doc0"), F.col("f.th").alias("th0"), place.alias("place")).groupBy("doc", "th", "doc0", "th0").agg(F.sort_array(F.collect_set("place")).alias("places")))
-    key = [F.col("_doc") == F.col("doc"), F.col("_text_hash") == F.col("th")]
-
-    # the words of the first places' documents, one row each
-    def hashed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([word_hashes(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["doc0", "th0", "words0"])
-
-    sources = docs.join(_small(cut(pairs.select(F.col("doc0").alias("doc"), F.col("th0").alias("th")).distinct())), key, "left_semi")
-    sources = sources.select("_doc", "_text_hash", "text").mapInArrow(hashed, "doc0 long, th0 long, words0 binary").dropDuplicates(["doc0", "th0"])
-    found = pairs.join(sources, ["doc0", "th0"]).select("doc", "th", F.lit(1).alias("kind"), ((F.col("doc") == F.col("doc0")) & (F.col("th") == F.col("th0"))).alias("own"), "places", F.col("words0").alias("body"))
-    targets = docs.join(_small(cut(pairs.select("doc", "th").distinct())), key, "left_semi")
-    targets = targets.select(F.col("_doc").alias("doc"), F.col("_text_hash").alias("th"), F.lit(0).alias("kind"), F.lit(False).alias("own"), F.lit(None).cast("array<struct<diagonal:int,pos:int>>").alias("places"), F.col("text").cast("binary").alias("body"))
-
-    def cuts(batches):
-        key, text, words, runs = None, None, None, []
-        low = high = None  # at each place of a fingerprint, the part that equals its first place's; else -1
-        out: list[list] = [[], [], [], [], []]
-
-        def give(h, start, stop):
-            out[0].append(np.full(len(h), key[0], dtype=np.int64))
-            out[1].append(np.full(len(h), key[1], dtype=np.int64))
-            out[2].append(h)
-            out[3].append(start)
-            out[4].append(stop)
-
-        def close():
-            if low is None:
-                return
-            mark = minima(line_hashes(words, line_words), run_words - line_words + 1)
-            at = np.arange(len(mark))
-            open_ = np.flatnonzero((low[mark] >= 0) & ((low[mark] > at) | (at + run_words > high[mark])))
-            if not runs and not len(open_):
-                return
-            spans = np.array(spans_of(text), dtype=np.int32).reshape(-1, 2)
-            starts = np.append(spans[:, 0], np.int32(len(text)))  # a run goes to the next word or the end of the text
-            if runs:
-                found = np.array(merged(runs), dtype=np.int64)
-                give(np.ma.masked_all(len(found), dtype=np.int64), starts[found[:, 0]], starts[found[:, 1]])
-            if len(open_):
-                give(np.ma.array(line_hashes(words, run_words)[open_].view(np.int64)), starts[open_], starts[open_ + run_words])
-
-        def batch_of():
-            h = np.ma.concatenate(out[2])
-            columns = [pa.array(np.concatenate(c)) for c in (out[0], out[1])] + [pa.array(h.filled(0), mask=np.ma.getmaskarray(h))] + [pa.array(np.concatenate(c), pa.int32()) for c in out[3:]]
-            return pa.RecordBatch.from_arrays(columns, names=["doc", "th", "h", "start", "stop"])
+            w = batch_words(batch.column(2), places=True)
+            lines = run_hashes(w.hash, line_words)
+            _, marked = _windows(w, lines, line_words, run_words)
+            marked = marked[np.concatenate([[True], marked[1:] != marked[:-1]])] if len(marked) else marked
+            starts, _, own = _own_lines(w, lines, line_words, run_words, least_line)
+            rows = w.row[np.concatenate([marked, starts])]
+            places = np.concatenate([marked - w.first[w.row[marked]], -1 - (starts - w.first[w.row[starts]])])
+            g = np.concatenate([lines[marked], own])
+            doc, text = (batch.column(i).to_numpy()[rows] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(text | (places & _LOW))], names=["g", "doc", "at"])
+
+    return docs.mapInArrow(run, "g long, doc long, at long")
+
+
+def runs(docs: DataFrame, line_words: int, run_words: int, least_line: int) -> DataFrame:
+    """docs (doc, text hash, text, marks): h, doc, at (text hash above, first code point below), stop, again: a row a
+    window or line with a fingerprint among marks; again where the run stands earlier in the same text."""
 
+    def run(batches):
         for batch in batches:
-            lists = batch.column(4)
-            diagonals, positions = (lists.values.field(i).to_numpy() for i in range(2))
-            ends = lists.offsets.to_numpy()
-            for k, (doc, th, kind, own, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))):
-                if (doc, th) != key:
-                    close()
-                    key, text, words, runs, low, high = (doc, th), None, None, [], None, None
-                if kind == 0:
-                    if text is None:  # a repeated row is the same document
-                        text, words = body.decode(), np.fromiter(map(zlib.crc32, body.split()), dtype=np.uint32)
-                else:
-                    if low is None:
-                        low, high = np.full(len(words), -1, dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
-                    runs += matches(words, np.frombuffer(body, dtype=np.uint32), diagonals[ends[k] : ends[k + 1]], positions[ends[k] : ends[k + 1]], run_words, own, low, high)
-                    if len(runs) > 1000:
-                        runs = merged(runs)
-            if sum(map(len, out[0])) > 5000:
-                yield batch_of()
-                out = [[], [], [], [], []]
-        close()
-        if out[0]:
-            yield batch_of()
-
-    rows = targets.unionByName(found).repartition("doc", "th").sortWithinPartitions("doc", "th", "kind")
-    made = staged(rows.mapInArrow(cuts, "doc long, th long, h long, start int, stop int"))
-    # the second round: runs that the first places of their fingerprints do not hold
-    open_ = made.filter("h is not null")
-    first = open_.groupBy("h").agg(F.min(F.struct("doc", "th", "start")).alias("f"), F.max(F.struct("doc", "th", "start")).alias("l")).filter("f <> l").select("h", "f")
-    later = open_.join(first, "h").filter((F.col("doc") != F.col("f.doc")) | (F.col("th") != F.col("f.th")) | (F.col("start") != F.col("f.start")))
-    return made.filter("h is null").select("doc", "th", "start", "stop").unionByName(later.select("doc", "th", "start", "stop"))
-
-
-def joined_spans(spans: DataFrame) -> DataFrame:
-    """doc, th and cuts: the spans of each document in order, those that touch or overlap as one."""
-    by = Window.partitionBy("doc", "th").orderBy("start", "stop")
-    before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc", "th", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return runs.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-
-
-def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50) -> DataFrame:
+            w = batch_words(batch.column(2), places=True)
+            lines, whole = run_hashes(w.hash, line_words), run_hashes(w.hash, run_words)
+            marks = batch.column(3)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
+            marks = marks.flatten().to_numpy()
+            line = marks < 0
+            wanted, wanted_line = np.zeros(len(w.hash), dtype=bool), np.zeros(len(w.hash), dtype=bool)
+            wanted[(w.first[rows] + marks)[~line]] = True
+            wanted_line[(w.first[rows] - 1 - marks)[line]] = True
+            windows, marked = _windows(w, lines, line_words, run_words)
+            windows = windows[wanted[marked]]
+            starts, ends, own = _own_lines(w, lines, line_words, run_words, least_line)
+            own_kept = wanted_line[starts]
+            h = np.concatenate([mix(whole[windows] + _RUN), own[own_kept]])
+            first, after = np.concatenate([windows, starts[own_kept]]), np.concatenate([windows + run_words, ends[own_kept]])
+            row = w.row[first]
+            order = np.lexsort((first, h, row))
+            h, first, after, row = h[order], first[order], after[order], row[order]
+            again = np.concatenate([[False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])])[: len(h)]
+            stop = np.append(w.start, 0)[after]
+            stop = np.where(after == w.first[row + 1], w.length[row], stop)
+            doc, text = (batch.column(i).to_numpy()[row] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(text | w.start[first]), pa.array(stop.astype(np.int32)), pa.array(again)], names=["h", "doc", "at", "stop", "again"])
+
+    return docs.mapInArrow(run, "h long, doc long, at long, stop int, again boolean")
+
+
+def _key() -> tuple[Column, Column]:
+    """A document: its id (null: the least long), and above 32 zeros a hash of its text and of whether its id is null."""
+    doc = F.col("doc_id").cast("long")
+    return F.coalesce(doc, F.lit(-(1 << 63)).cast("long")), F.shiftleft(F.shiftright(F.xxhash64(doc.isNull(), F.col("text").cast("string")), 32), 32)
+
+
+def _text_part(at: str) -> Column:
+    return F.shiftleft(F.shiftright(at, 32), 32)
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (start above, stop below) as structs, those that touch or overlap as one."""
+    start, stop = (lambda s: F.shiftright(s, 32).cast("int")), (lambda s: s.bitwiseAND(F.lit(_LOW)).cast("int"))
+    one = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("stop")))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    zero = F.struct(none.alias("done"), start(F.get(spans, F.lit(0))).alias("a"), stop(F.get(spans, F.lit(0))).alias("b"))
+
+    def step(acc, s):
+        on = start(s) <= acc["b"]
+        done = F.when(on, acc["done"]).otherwise(F.concat(acc["done"], one(acc["a"], acc["b"])))
+        return F.struct(done.alias("done"), F.when(on, acc["a"]).otherwise(start(s)).alias("a"), F.when(on, F.greatest(acc["b"], stop(s))).otherwise(stop(s)).alias("b"))
+
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], one(acc["a"], acc["b"])))
+
+
+def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50, least_line: int = 30) -> DataFrame:
+    """doc and th (the key), cuts: the spans of code points (from 0, [start, stop)) to take out, apart and in order."""
+    if not 1 <= line_words <= min(run_words, least_line) or run_words > 2 * line_words:
+        raise ValueError("line_words must be from 1 to run_words and least_line, run_words at most twice line_words")
+    bounded_batches(docs.sparkSession)
+    sizes = (line_words, run_words, least_line)
+    doc, th = _key()
+    docs = docs.filter("text is not null").select(doc.alias("doc"), th.alias("th"), F.col("text").cast("string").alias("text"))
+    places = fingerprints(docs, *sizes)
+    repeated = cut(places.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
+    marked = places.join(repeated, "g").select("doc", _text_part("at").alias("th"), F.shiftright(F.shiftleft("at", 32), 32).cast("int").alias("place"))
+    marked = marked.groupBy("doc", "th").agg(F.collect_list("place").alias("marks"))  # no more than a text's words
+    found = staged(runs(docs.join(marked, ["doc", "th"]).select("doc", "th", "text", "marks"), *sizes))
+    released(docs.sparkSession)
+    place = F.struct("doc", "at")
+    others = found.filter("not again").select("h", "doc", "at", "stop")
+    first = cut(others.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("h", F.col("f.doc").alias("doc0"), F.col("f.at").alias("at0")))
+    later = others.join(first, "h").filter("doc <> doc0 or at <> at0").select("doc", "at", "stop")
+    later = later.unionByName(found.filter("again").select("doc", "at", "stop"))
+    span = F.shiftleft(F.col("at").bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.col("stop").cast("long"))
+    return later.groupBy("doc", _text_part("at").alias("th")).agg(merged(F.sort_array(F.collect_list(span))).alias("cuts"))
+
+
+def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50, least_line: int = 30) -> DataFrame:
     """The rows of docs with later repeated runs taken out of text; n_removed is the number of code points gone."""
-    if not 1 <= line_words <= run_words:
-        raise ValueError("line_words must be from 1 to run_words")
     columns = [c for c in docs.columns if c.lower() != "n_removed"]
-    removed = cut(joined_spans(repeats(docs, line_words, run_words)).select(F.col("doc").alias("_cut_doc"), F.col("th").alias("_cut_hash"), F.col("cuts").alias("_cuts")))
-    rows = keyed(docs.withColumn("text", F.col("text").cast("string"))).join(_small(removed), (F.col("_doc") == F.col("_cut_doc")) & (F.col("_text_hash") == F.col("_cut_hash")), "left")
+    own_doc, own_th, doc, th, cuts = fresh(docs, "own_doc", "own_th", "doc", "th", "cuts")
+    removed = cut(repeats(docs.select("doc_id", "text"), line_words, run_words, least_line))
+    released(docs.sparkSession)
+    removed = removed.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("cuts").alias(cuts))
+    key = _key()
+    rows = docs.withColumn(own_doc, key[0]).withColumn(own_th, key[1])
+    rows = rows.join(removed, (F.col(own_doc) == F.col(doc)) & (F.col(own_th) == F.col(th)), "left")
     # kept parts: between the end of one cut and the start of the next
-    starts = F.concat(F.array(F.lit(0)), F.col("_cuts.stop"))
-    stops = F.concat(F.col("_cuts.start"), F.array(F.length("text")))
-    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    gone = F.aggregate("_cuts", F.lit(0), lambda s, c: s + c.stop - c.start)
-    return rows.select(*[F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(gone, F.lit(0)).alias("n_removed"))
+    text = F.col("text").cast("string")
+    starts = F.concat(F.array(F.lit(0)), F.col(f"{cuts}.stop"))
+    stops = F.concat(F.col(f"{cuts}.start"), F.array(F.length(text)))
+    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
+    gone = F.aggregate(cuts, F.lit(0), lambda s, c: s + c.stop - c.start)
+    return rows.select(*[F.when(F.col(cuts).isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(gone, F.lit(0)).alias("n_removed"))
