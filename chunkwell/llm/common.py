@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -47,6 +48,25 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def large_batches(spark: SparkSession, rows: int = 8192):
+    """Rows in an Arrow batch for what is evaluated within: narrow rows of numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, th, text: the key of a document, and its text (null: empty). doc is its id, for null the greatest long; th
+    hashes its text and whether its id is null, so that rows with one id are told apart by their texts."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc, F.lit((1 << 63) - 1).cast("long")).alias("doc"), F.xxhash64(doc.isNull(), F.col("text").isNull(), text_or_empty()).alias("th"), text_or_empty().alias("text"))
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done with; it does so when the driver collects garbage."""
     gc.collect()

@@ -1,15 +1,22 @@
 """SimHash near-duplicates: fingerprints, and groups of fingerprints linked at few differing bits.
 
-Fingerprint: of the XXH64 (seed 42) of every run of so many words, repeats included, each of the 64 bits is set if
-it is set in over half of them. A text with fewer words has its whole word sequence as its one run; a text with
-no words (also null) has fingerprint zero and is linked like any other.
-
-Links: a self-join of binary tries over the distinct fingerprints. Two fingerprints that differ in at most e bits
-agree in at least one of e + 1 runs of bits. So e + 1 tries are kept, each with another run of bits on top, where
-the error budget of the paired nodes is still untouched: only equal top nodes are paired, and each such node is one
-group of a shuffle. Below, node pairs are traversed together level by level; a pair's differing bits add up, it is
-pruned once they exceed the budget, and it is accepted whole once the bits left can't exceed it. A group gives out
-a spanning forest of its links, never all its pairs.
+`near_duplicates`: of the XXH64 (seed 42) of every run of so many words, repeats included, each of the 64 bits is set
+if it is set in over half of them; fingerprints link at `errors` or fewer differing bits. A text with fewer words has
+its whole word sequence as its one run; a text with no words (also null) has fingerprint zero and is linked like any
+other.
+
+`similar`: texts link if their sets of runs of five words have a Jaccard similarity of 0.8 or more. Of 64 bits such
+texts differ in ten or more, which is too near to what unlike texts do, so these fingerprints have 256 bits, made
+likewise; pairs within their error budget are candidates, and the runs themselves are compared.
+
+Links: a self-join of binary tries over the distinct fingerprints. Each trie has another run of bits on top, where
+only equal nodes are paired: a pair of top nodes is one group of a shuffle. Below, node pairs are traversed together
+level by level; a pair's differing bits add up, and it is pruned once they exceed the error budget or all its keys are
+already linked. For `near_duplicates` errors + 1 tries have the whole budget covered: fingerprints that differ in no
+more bits agree in one of the runs. For `similar` there are as many tries as find a pair at just 0.8 with probability
+`RECALL`; the runs on top lengthen with the number of texts, so that groups stay small. A group gives out a spanning
+forest of its links, nearest first, never all its pairs. Groups of more than GROUP_KEYS keys are split into blocks,
+and every two blocks are a group.
 
 Components: alternating star steps on the forest's edges until nothing changes.
 
@@ -19,6 +26,7 @@ fingerprint. Extra columns are not carried; the result has a row for each row. E
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, cut, text_or_empty
+from .common import bounded_batches, cut, keyed, large_batches, text_or_empty
+from .words import batch_words, mix, run_hashes
 
 BITS = 64
+#: Words of 64 bits in a fingerprint of `similar`.
+WIDE = 4
+#: Chance that some trie's top node holds both of two texts that are just similar enough.
+RECALL = 0.97
+#: Keys of a group that one task compares.
+GROUP_KEYS = 16_384
 
 
 def text_fingerprint(text: str, words: int = 5) -> int:
@@ -65,19 +80,38 @@ def fingerprints(df: DataFrame, words: int = 5) -> DataFrame:
 
 # -- tries
 
+#: A trie: the word of the fingerprint, by how many bits it is turned left, and the bits on top.
+Trie = tuple[int, int, int]
+
 
 @lru_cache(maxsize=8)
-def top_bits(errors: int) -> tuple[tuple[int, int], ...]:
-    """(lowest bit, bits) of the run on top of each of the tries."""
+def covering_tries(errors: int) -> tuple[Trie, ...]:
+    """Tries over one word: of any two keys that differ in `errors` bits, some trie's run on top is equal."""
     cuts = [BITS * i // (errors + 1) for i in range(errors + 2)]
-    return tuple((a, b - a) for a, b in zip(cuts, cuts[1:]))
+    return tuple((0, (BITS - b) % BITS, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
+def differing(similarity: float) -> float:
+    """The share of a fingerprint's bits in which two texts of equal size differ in the mean."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
+def likely_tries(n: int, similarity: float) -> tuple[Trie, ...]:
+    """Tries over WIDE words, with runs on top that leave some 32 of n keys in a group."""
+    bits = min(24, max(8, n.bit_length() - 6))
+    hit = (1 - differing(similarity)) ** bits
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - hit) / WIDE) * WIDE
+    return tuple((t % WIDE, BITS * (t // WIDE) * WIDE // count, bits) for t in range(count))
 
-def rotated(fps: np.ndarray, trie: int, errors: int) -> np.ndarray:
-    """The trie's own order of bits: its run on top."""
-    low, n = top_bits(errors)[trie]
-    shift = (BITS - low - n) % BITS
-    return fps if shift == 0 else (fps << np.uint64(shift)) | (fps >> np.uint64(BITS - shift))
+
+def error_budget(similarity: float) -> int:
+    """Bits of WIDE words: three standard deviations over the mean of two texts that are just similar enough."""
+    n, p = BITS * WIDE, differing(similarity)
+    return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
+
+
+def turned(words: np.ndarray, by: int) -> np.ndarray:
+    return words if by == 0 else (words << np.uint64(by)) | (words >> np.uint64(BITS - by))
 
 
 class _Forest:
@@ -101,19 +135,35 @@ class _Forest:
 
 
 #: A node pair with at most so many pairs of keys is compared key by key.
-LEAF_PAIRS = 64
+LEAF_PAIRS = 256
 #: Node pairs that are traversed at once; the rest waits on a stack.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
+#: Groups of more keys first try to link their keys to one of them.
+STAR = 32
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def trie_links(keys: np.ndarray, top: int, errors: int) -> list[tuple[int, int]]:
-    """A spanning forest, as positions, of the links of sorted distinct keys that share their `top` first bits."""
+def trie_links(keys: np.ndarray, full: np.ndarray, groups: np.ndarray, top: int, errors: int) -> list[tuple[int, int]]:
+    """A spanning forest, as positions, of the links within each group. keys: a word of each fingerprint, turned so
+    that the group's common `top` bits come first, sorted in each group. full: the fingerprints, a row of words each.
+    groups: the groups' starts and the end of the last."""
     n = len(keys)
     forest = _Forest(n)
-    heads = keys >> np.uint64(BITS - top)
-    edges = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
-    lo = edges
-    hi = np.concatenate([edges[1:], [n]])
+    for lo, hi in zip(groups[:-1].tolist(), groups[1:].tolist()):
+        rest = np.arange(lo, hi)
+        while len(rest) > STAR:  # two keys within half the budget of a third are within the budget of each other
+            near = distances(full[rest[1:]], full[rest[:1]]) <= errors // 2
+            for x in rest[1:][near].tolist():
+                forest.link(int(rest[0]), x)
+            if 4 * near.sum() < len(rest):
+                break
+            rest = rest[1:][~near]
+    known = np.array([forest.root(x) for x in range(n)] if forest.edges else np.arange(n))
+    changes = np.concatenate([[0], np.cumsum(known[1:] != known[:-1])]) if n else known
+    lo, hi = groups[:-1], groups[1:]
     many = hi - lo > 1
     stack = [(lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), dtype=np.int64), top)]
     while stack:
@@ -122,43 +172,42 @@ def trie_links(keys: np.ndarray, top: int, errors: int) -> list[tuple[int, int]]
             half = len(a0) // 2
             stack += [(a0[s], a1[s], b0[s], b1[s], diff[s], depth) for s in (slice(0, half), slice(half, None))]
             continue
-        whole = diff + (BITS - depth) <= errors
-        for i in np.flatnonzero(whole).tolist():  # the bits left can't exceed the budget: all keys below are linked
-            for start, stop in ((a0[i], a1[i]), (b0[i], b1[i])):
-                for x in range(start + 1, stop):
-                    forest.link(int(start), x)
-            if a0[i] != b0[i]:
-                forest.link(int(a0[i]), int(b0[i]))
-        leaf = ~whole & ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS)
+        linked = (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]) & (known[a0] == known[b0])
+        leaf = ~linked & (((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth == BITS))
         if leaf.any():
             i0, n_a, n_b = np.flatnonzero(leaf), (a1 - a0)[leaf], (b1 - b0)[leaf]
             size = n_a * n_b
             of = np.repeat(np.arange(len(i0)), size)
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            x = a0[i0][of] + k // n_b[of]
-            y = b0[i0][of] + k % n_b[of]
-            near = (np.bitwise_count(keys[x] ^ keys[y]) <= errors) & (x < y)
-            for p, q in zip(x[near].tolist(), y[near].tolist()):
-                forest.link(p, q)
-        rest = ~whole & ~leaf
+            x, y = a0[i0][of] + k // n_b[of], b0[i0][of] + k % n_b[of]
+            ahead = x < y
+            x, y = x[ahead], y[ahead]
+            apart = distances(full[x], full[y])
+            near = np.flatnonzero(apart <= errors)
+            for p in near[np.argsort(apart[near], kind="stable")].tolist():
+                forest.link(int(x[p]), int(y[p]))
+        rest = ~linked & ~leaf
         if rest.any():
             a0, a1, b0, b1, diff = (v[rest] for v in (a0, a1, b0, b1, diff))
-            bit = np.uint64(1) << np.uint64(BITS - depth - 1)
 
-            def middle(start, stop):
-                first = keys[start] >> np.uint64(BITS - depth) << np.uint64(BITS - depth) if depth else np.zeros(len(start), dtype=np.uint64)
-                at = np.searchsorted(keys, first | bit)
-                return np.clip(at, start, stop)
+            def middle(start, stop):  # the first key of the node whose next bit is set
+                bit = np.uint64(1) << np.uint64(BITS - depth - 1)
+                low, high = start.copy(), stop.copy()
+                while (open_ := low < high).any():
+                    at = (low + high) >> 1
+                    set_ = (keys[np.minimum(at, n - 1)] & bit) != 0
+                    high = np.where(open_ & set_, at, high)
+                    low = np.where(open_ & ~set_, at + 1, low)
+                return low
 
             am, bm = middle(a0, a1), middle(b0, b1)
             same = (a0 == b0) & (a1 == b1)
-            grown = [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None), (a0, am, bm, b1, diff + 1, None), (am, a1, b0, bm, diff + 1, ~same)]
             parts = []
-            for p0, p1, q0, q1, d, only in grown:
+            for p0, p1, q0, q1, d, twice in ((a0, am, b0, bm, diff, False), (am, a1, bm, b1, diff, False), (a0, am, bm, b1, diff + 1, False), (am, a1, b0, bm, diff + 1, True)):
                 ok = (p1 > p0) & (q1 > q0) & (d <= errors)
                 ok &= ~((p0 == q0) & (p1 == q1) & (p1 - p0 < 2))
-                if only is not None:
-                    ok &= only
+                if twice:  # of a node with itself the halves meet once
+                    ok &= ~same
                 parts.append([v[ok] for v in (p0, p1, q0, q1, d)])
             joined = [np.concatenate(v) for v in zip(*parts)]
             if len(joined[0]):
@@ -166,42 +215,63 @@ def trie_links(keys: np.ndarray, top: int, errors: int) -> list[tuple[int, int]]
     return forest.edges
 
 
-def links(distinct: DataFrame, errors: int = 2) -> DataFrame:
-    """(a, b) edges of a spanning forest in each top node of each trie, over the distinct fingerprints in fp."""
-    runs = top_bits(errors)
-    tops = [F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << n) - 1)) for low, n in runs]
-    keyed = distinct.select("fp", F.posexplode(F.array(*tops)).alias("trie", "top")).repartition("trie", "top").sortWithinPartitions("trie", "top")
+def links(nodes: DataFrame, words: list[str], tries: tuple[Trie, ...], errors: int) -> DataFrame:
+    """(a, b): edges of a spanning forest in each group, over distinct nodes (node, and words: the fingerprint's)."""
+
+    def top(word, by, bits):
+        w = F.col(words[word])
+        w = w if by == 0 else F.shiftleft(w, by).bitwiseOR(F.shiftrightunsigned(w, BITS - by))
+        return F.shiftrightunsigned(w, BITS - bits)
+
+    dealt = nodes.select("node", *words, F.posexplode(F.array(*[top(*t) for t in tries])).alias("trie", "top"))
+    hot = cut(dealt.groupBy("trie", "top").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_KEYS))
+    pair = F.lit(0).cast("long")
+    if not hot.isEmpty():
+        dealt = dealt.join(hot, ["trie", "top"], "left")
+        blocks = F.ceil(F.coalesce("n", F.lit(1)) / GROUP_KEYS)
+        own = F.pmod(F.xxhash64("node"), blocks)
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    dealt = dealt.select("trie", "top", pair.alias("pair"), "node", *words).repartition("trie", "top", "pair").sortWithinPartitions("trie", "top", "pair")
 
     def run(batches):
-        held = None  # fp, trie, top of the last node, which may go on in the next batch
-
-        def solve(fp, trie, top):
-            out = []
-            for t in np.unique(trie).tolist():
-                own = np.unique(fp[trie == t].view(np.uint64))
-                turned = rotated(own, t, errors)
-                order = np.argsort(turned)
-                pairs = trie_links(turned[order], runs[t][1], errors)
-                if pairs:
-                    p = order[np.array(pairs)]
-                    out.append(own.view(np.int64)[p])
-            return out
+        held: list[np.ndarray] = []  # rows of trie, top, pair, node, words
+        size = 0
+
+        def solve(rows):
+            change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            starts = np.concatenate([[0], change, [len(rows)]])
+            of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            full = rows[:, 4:].view(np.uint64)
+            for t in np.unique(rows[:, 0]).tolist():
+                own = np.flatnonzero(rows[:, 0] == t)
+                word, by, bits = tries[t]
+                key = turned(full[own, word], by)
+                own = own[np.lexsort((key, of[own]))]
+                key = turned(full[own, word], by)
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(of[own])) + 1, [len(own)]])
+                edges = trie_links(key, full[own], bounds, bits, errors)
+                if edges:
+                    p = rows[own, 3][np.array(edges)]
+                    yield pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, trie, top = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
-            if held is not None:
-                fp, trie, top = (np.concatenate(v) for v in zip(held, (fp, trie, top)))
-            first = np.flatnonzero((trie == trie[-1]) & (top == top[-1]))[0]
-            held = (fp[first:], trie[first:], top[first:])
-            for pairs in solve(fp[:first], trie[:first], top[:first]):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-        if held is not None:
-            for pairs in solve(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    return keyed.select("fp", F.col("trie").cast("long"), "top").mapInArrow(run, "a long, b long")
+            rows = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            held.append(rows)
+            size += len(rows)
+            if size >= GROUP_KEYS:
+                whole = np.concatenate(held)
+                first = int(np.flatnonzero((whole[:, :3] == whole[-1, :3]).all(axis=1))[0])
+                if first:
+                    yield from solve(whole[:first])
+                held = [whole[first:]]
+                size = len(whole) - first if first else 0  # a group of GROUP_KEYS is joined up once more for each as many
+        if held:
+            yield from solve(np.concatenate(held))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 # -- components
@@ -214,7 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each node's larger neighbours go to its smallest neighbour
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))  # cut: so that the join can split a hub
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node and its smaller neighbours go to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -231,8 +301,97 @@ def near_duplicates(df: DataFrame, words: int = 5, errors: int = 2) -> DataFrame
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group)."""
     fps = cut(fingerprints(df, words))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct.select("fp"), errors))
-    member = distinct.join(broadcast_if_small(roots), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    with large_batches(df.sparkSession):
+        edges = cut(links(distinct.select(F.col("fp").alias("node"), "fp"), ["fp"], covering_tries(errors), errors))
+    roots = components(edges)
+    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = cut(member.groupBy("root").agg(F.min("least_id").alias("component_id")))
     labels = cut(member.join(least, "root").select("fp", "component_id"))
-    return fps.join(broadcast_if_small(labels), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- texts of which so much is alike
+
+
+def shingle_hashes(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the hash of every run of so many lower-case words; a text with fewer is one run."""
+    w = batch_words(column, lower=True)
+    n = np.diff(w.first)
+    rows, hashes = [], []
+    for size in range(1, words + 1):
+        h = run_hashes(w.hash, size)
+        if size == words:
+            at = np.flatnonzero(w.row[: len(h)] == w.row[size - 1 : size - 1 + len(h)])
+        else:
+            at = w.first[:-1][n == size]
+        rows.append(w.row[at])
+        hashes.append(mix(h[at] + np.uint64(size)) if len(at) else np.zeros(0, np.uint64))
+    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], hashes[order]
+
+
+def wide_fingerprints(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A node (a hash of the runs with their counts) and WIDE words of fingerprint of each text."""
+    rows, h = shingle_hashes(column, words)
+    node, out = np.zeros(len(column), dtype=np.uint64), np.zeros((len(column), WIDE), dtype=np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)]]) if len(rows) else np.zeros(1, dtype=np.int64)
+    at = 0
+    while at < len(starts) - 1:  # so many texts at a time that their runs stay few
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 16), side="right")) - 1)
+        a, b = starts[at], starts[to]
+        own, sizes = starts[at:to] - a, np.diff(starts[at : to + 1])
+        texts = rows[starts[at:to]]
+        node[texts] = mix(np.add.reduceat(mix(h[a:b]), own) + sizes.astype(np.uint64))
+        for k in range(WIDE):
+            bits = np.unpackbits(mix(h[a:b] + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_ = 2 * np.add.reduceat(bits, own, axis=0, dtype=np.int32) > sizes[:, None]
+            out[texts, k] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        at = to
+    return node, out
+
+
+def similar(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc and th (see common.keyed), leader_doc and leader_th: for every document the least one of its group. Rows
+    with one doc_id and one text are one document; those with one doc_id and other texts are others."""
+    names = [f"w{k}" for k in range(WIDE)]
+    texts = keyed(df)
+    bounded_batches(df.sparkSession)
+
+    def sketches(batches):
+        for batch in batches:
+            node, fp = wide_fingerprints(batch.column(2), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *[pa.array(fp[:, k].copy().view(np.int64)) for k in range(WIDE)]], names=["doc", "th", "node", *names])
+
+    docs = cut(texts.mapInArrow(sketches, "doc long, th long, node long, " + ", ".join(f"{c} long" for c in names)))
+    nodes = cut(docs.groupBy("node", *names).agg(F.min(F.struct("doc", "th")).alias("least")))
+    n = nodes.count()
+    with large_batches(df.sparkSession):
+        edges = cut(links(nodes.select("node", *names), names, likely_tries(n, similarity), error_budget(similarity)).distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = cut(ends.join(nodes, "node").select("node", "least.doc", "least.th"))
+
+    def sets(batches):
+        for batch in batches:
+            rows, h = shingle_hashes(batch.column(1), words)
+            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["node", "runs"])
+
+    own = texts.join(ends, ["doc", "th"]).select("node", "text").mapInArrow(sets, "node long, runs binary").dropDuplicates(["node"])
+    own = cut(own)
+
+    def alike(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = edges.join(own.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+    roots = components(cut(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")))
+    member = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = cut(member.groupBy("root").agg(F.min("least").alias("leader")))
+    leaders = cut(member.join(least, "root").select("node", "leader"))
+    return docs.select("doc", "th", "node").join(leaders, "node").select("doc", "th", F.col("leader.doc").alias("leader_doc"), F.col("leader.th").alias("leader_th"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 from chunkwell.llm import simhash as S
@@ -36,10 +37,12 @@ def test_tries_find_the_links_of_brute_force():
         n = len(keys)
         expected = groups(n, [(i, j) for i in range(n) for j in range(i) if bin(int(keys[i] ^ keys[j])).count("1") <= errors])
         edges = []
-        for trie, (_, top) in enumerate(S.top_bits(errors)):
-            turned = S.rotated(keys, trie, errors)
-            order = np.argsort(turned)
-            found = S.trie_links(turned[order], min(top, 64), errors) if errors else []
+        for _, by, top in S.covering_tries(errors):
+            key = S.turned(keys, by)
+            order = np.argsort(key)
+            heads = key[order] >> np.uint64(64 - top) if top < 64 else np.arange(n)
+            bounds = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [n]])
+            found = S.trie_links(key[order], keys[order][:, None], bounds, top, errors)
             edges += [(int(order[a]), int(order[b])) for a, b in found]
         assert all(bin(int(keys[a] ^ keys[b])).count("1") <= errors for a, b in edges)
         assert groups(n, edges) == expected
@@ -48,7 +51,7 @@ def test_tries_find_the_links_of_brute_force():
 def test_a_dense_node():
     keys = np.array(sorted({(5 << 50) | x for x in range(4000)}), dtype=np.uint64)
     for top in (1, 21):
-        edges = S.trie_links(keys, top, 2)
+        edges = S.trie_links(keys, keys[:, None], np.array([0, 4000]), top, 2)
         assert len(edges) == len(keys) - 1
 
 
@@ -81,3 +84,60 @@ def test_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = dict(S.components(edges).collect())
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_KEYS", 20)
+    keys = [(7 << 50) + 64 * x for x in range(90)]
+    nodes = spark.createDataFrame([(k, k) for k in keys], "node long, fp long")
+    edges = [(r.a, r.b) for r in S.links(nodes, ["fp"], S.covering_tries(2), 2).collect()]
+    at = {k: i for i, k in enumerate(keys)}
+    expected = groups(90, [(i, j) for i in range(90) for j in range(i) if bin(keys[i] ^ keys[j]).count("1") <= 2])
+    assert groups(90, [(at[a], at[b]) for a, b in edges]) == expected
+
+
+def test_wide_fingerprints():
+    texts = ["A b C d e f a B c d e f", "a b c d e f a b c d e f", "", None, "x", "x y", " X\n", "a b c d e f"]
+    node, fp = S.wide_fingerprints(pa.array(texts), 5)
+    same = {(i, j) for i in range(8) for j in range(i) if node[i] == node[j]}
+    assert same == {(1, 0), (3, 2), (6, 4)} and (fp[2] == 0).all()
+    rows, h = S.shingle_hashes(pa.array(texts), 5)
+    assert np.bincount(rows, minlength=8).tolist() == [8, 8, 0, 0, 1, 1, 1, 2]
+    own = h[rows == 0]
+    bits = np.unpackbits(S.mix(own + np.uint64(0x632BE59BD9B4E019)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    assert np.unpackbits(fp[0, :1].view(np.uint8), bitorder="little").tolist() == (2 * bits.sum(axis=0) > 8).astype(int).tolist()
+
+
+def jaccard_groups(docs, words=5, least=0.8):
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()})
+    n = len(docs)
+    close = lambda x, y: x == y or len(x & y) >= least * len(x | y)
+    return groups(n, [(i, j) for i in range(n) for j in range(i) if close(sets[i], sets[j])])
+
+
+def test_similar_against_brute_force(spark):
+    """Copies with an edit every so many words, from 0.6 to 0.97 alike: almost no group is missed, none is too large."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for i in range(300):
+        base = [rng.choice(words) for _ in range(rng.choice([20, 60, 200, 400]))]
+        docs.append((2 * i, " ".join(base)))
+        every = rng.choice([8, 20, 30, 45, 60, 100, 200])
+        docs.append((2 * i + 1, " ".join("edit" if rng.random() < 1 / every else w for w in base)))
+    docs += [(1000, ""), (1001, None), (1002, " "), (7, docs[7][1]), (7, "another text of the same id it is"), (None, docs[0][1]), (1003, "ab cd"), (1004, "AB  cd")]
+    got = S.similar(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, doc int")).collect()
+    assert len(got) == len(docs)
+    key = {(r.doc_id, r.text): (r.doc, r.th) for r in S.keyed(spark.createDataFrame(docs, "doc_id long, text string")).select("doc", "th", "text").withColumnRenamed("doc", "doc_id").collect() for r in [type("R", (), {"doc_id": r.doc_id, "text": r.text, "doc": r.doc_id, "th": r.th})]}
+    leader = {(r.doc, r.th): (r.leader_doc, r.leader_th) for r in got}
+    own = [leader[key[((1 << 63) - 1 if d is None else d, t or "")]] for d, t in docs]
+    root = jaccard_groups(docs)
+    n = len(docs)
+    expected = [(i, j) for i in range(n) for j in range(i) if root[i] == root[j]]
+    missed = [p for p in expected if own[p[0]] != own[p[1]]]
+    wrong = [(i, j) for i in range(n) for j in range(i) if root[i] != root[j] and own[i] == own[j]]
+    assert len(expected) > 150 and len(missed) <= 0.05 * len(expected) and not wrong
+    assert S.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
