@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker, so that a batch of long texts stays small.
 BATCH_ROWS = 256
-#: A side of a join is broadcast only if it has no more rows than this and each row is narrow.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it takes no more than this.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,10 +82,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [f"_{n}{tail}" for n in names]
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast a narrow table whose counted rows are within BROADCAST_ROWS; else leave the join to Spark."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, array: str | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table of numbers, and of one array of numbers if named, that takes no more bytes than this by its
+    counted rows and elements; else leave the join to Spark. df is read twice: give it cut or staged."""
+    inside = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    rows, elements = df.agg(F.count("*"), inside).first()
+    return F.broadcast(df) if rows * (16 + 8 * len(df.columns)) + 16 * elements <= most else df
 
 
 def text_or_empty(name: str = "text"):

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, text_or_empty
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, text_or_empty
 
 #: Tokens of an item that its seeds are taken from together.
 GROUP = 5
@@ -81,7 +81,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: in
     in_group = (F.size("th") >= WHOLE_BELOW) & (group == F.floor((F.col("place") + length - 1) / GROUP)) & ((group + 1) * GROUP <= F.size("th"))
     own = seeds(items, masks, ("item_id",)).filter(F.when(F.col("mask") < len(MASKS), in_group).otherwise(F.size("th") == length))
     own = cut(own.select("item_id", F.col("place").alias("item_place"), "h"))
-    small = own.count() <= BROADCAST_ROWS
+    small = 40 * own.count() <= BROADCAST_BYTES
     bound = F.broadcast if small else (lambda df: df)
     items = bound(items.select("item_id", F.col("th").alias("item")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(text_or_empty()).alias("th"))
@@ -107,5 +107,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The rows of docs whose doc_id has no leak."""
     found = cut(leaks(docs, benchmark, **limits).select(F.col("doc_id").alias("_leak")).distinct())
-    bad = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    bad = broadcast_if_small(found)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")

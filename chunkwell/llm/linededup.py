@@ -7,13 +7,14 @@ share a run of `run_words` words select the same fingerprint at the same word of
 newlines) of `least_line` words or more, but under `run_words`, are fingerprints too.
 
 1. Fingerprints are counted over all documents; one that stands once goes no further.
-2. Places of repeated fingerprints are extended both ways, to each window that selected them: such a window's run of
-   `run_words` words, or the line, is hashed whole.
-3. Equal runs are joined with the first of them (least doc_id, then text, then place), and all others are later ones.
+2. Each place of a repeated one is extended both ways, as far as windows select it, and these words are hashed. Equal
+   extents are joined with the first of them (least doc_id, then text, then place); all others are later ones.
+3. Where a fingerprint has several extents, a match begins or ends within them. The first place of each is taken apart
+   into its windows, which are joined with their own first place in the same way.
 
-A match of more words is a row of windows, each with its fingerprint, so the union of the later windows is the match
-extended as far as it goes; no occurrence is compared with one chosen partner only, and none is missed. Runs are equal
-if their 64-bit hashes are. A run that repeats within its document, overlaps included, is later there as well.
+So every occurrence of every run of `run_words` words but the first is found, and a longer match, which is a row of
+windows with their fingerprints, goes as far as it goes; no occurrence is compared with one chosen partner only. Runs
+are equal if their 64-bit hashes are. A run that repeats within its document, overlaps included, is later there too.
 
 A run goes from its first word to the next word kept, or to the end of the text. Words are what ASCII white space
 separates, compared as they are. Null texts stay null, empty texts empty. Rows with one doc_id and one text are one
@@ -28,25 +29,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, fresh, released, staged
+from .common import bounded_batches, broadcast_if_small, cut, fresh, released, staged
 from .words import Words, batch_words, mix, run_hashes
 
-_LINE, _RUN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # set lines and runs apart
+_LINE, _RUN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # odd
 _LOW = (1 << 32) - 1
 
 
 def minima(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window the place of its least hash, of equal ones the last."""
-    if len(hashes) < window:
+    """For each window the place of its least hash, of equal ones the last. Hashes are compared without their lowest
+    bits, where the place is kept meanwhile."""
+    n = len(hashes)
+    if n < window:
         return np.zeros(0, dtype=np.int64)
-    low, at, span = hashes, np.arange(len(hashes)), 1
+    mask = np.uint64((1 << max(26, n.bit_length())) - 1)  # the same for all batches but enormous ones
+    low, span = (hashes & ~mask) | (mask - np.arange(n, dtype=np.uint64)), 1
     while span < window:  # by doubling; the last step overlaps
         step = min(span, window - span)
-        m = len(low) - step
-        right = low[step:] <= low[:m]
-        low, at = np.where(right, low[step:], low[:m]), np.where(right, at[step:], at[:m])
+        low = np.minimum(low[: len(low) - step], low[step:])
         span += step
-    return at
+    return (mask - (low & mask)).astype(np.int64)
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -71,56 +73,72 @@ def _own_lines(w: Words, lines: np.ndarray, line_words: int, run_words: int, lea
     return starts, ends, mix(lines[starts] * _LINE + lines[ends - line_words] + n.astype(np.uint64))
 
 
-def fingerprints(docs: DataFrame, line_words: int, run_words: int, least_line: int) -> DataFrame:
-    """g, doc, at: a row a fingerprint's place; at has the text's hash above and the word (a line's: less than 0) below."""
+def _extents(w: Words, line_words: int, run_words: int, least_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints in the batch: hash, first word and word after the last of the extent, and the extent's hash."""
+    lines, whole = run_hashes(w.hash, line_words), run_hashes(w.hash, run_words)
+    windows, marked = _windows(w, lines, line_words, run_words)
+    new = np.flatnonzero(np.concatenate([[True], marked[1:] != marked[:-1]]))[: len(marked)]
+    first, last = windows[new], windows[np.append(new[1:], len(windows))[: len(new)] - 1]
+    extent = mix(whole[first] * _RUN + whole[last] + (last - first).astype(np.uint64))  # the two runs cover it
+    starts, ends, own = _own_lines(w, lines, line_words, run_words, least_line)
+    return np.concatenate([lines[marked[new]], own]), np.concatenate([first, starts]), np.concatenate([last + run_words, ends]), np.concatenate([extent, own])
+
+
+def _ends(w: Words, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where the runs that begin at the words first and end before the words after stop: at the next word or the end."""
+    row = w.row[first]
+    return np.where(after == w.first[row + 1], w.length[row], np.append(w.start, 0)[after]).astype(np.int32)
+
+
+def _batch(w: Words, batch: pa.RecordBatch, names: list[str], hashes: list[np.ndarray], first: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    doc, text = (batch.column(i).to_numpy()[w.row[first]] for i in (0, 1))
+    columns = [*(h.view(np.int64) for h in hashes), doc, text | w.start[first], _ends(w, first, after)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*names, "doc", "at", "stop"])
+
+
+def fingerprints(docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+    """docs (doc, th, text): g alone, a row a fingerprint's place."""
+
+    def run(batches):
+        for batch in batches:
+            w = batch_words(batch.column(2), places=True)
+            lines = run_hashes(w.hash, sizes[0])
+            _, marked = _windows(w, lines, *sizes[:2])
+            marked = marked[np.concatenate([[True], marked[1:] != marked[:-1]])[: len(marked)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([lines[marked], _own_lines(w, lines, *sizes)[2]]).view(np.int64))], names=["g"])
+
+    return docs.mapInArrow(run, "g long")
+
+
+def extents(docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+    """docs (doc, th, text): g, e, doc, at (th above, first code point below), stop: a row a fingerprint's place."""
 
     def run(batches):
         for batch in batches:
             w = batch_words(batch.column(2), places=True)
-            lines = run_hashes(w.hash, line_words)
-            _, marked = _windows(w, lines, line_words, run_words)
-            marked = marked[np.concatenate([[True], marked[1:] != marked[:-1]])] if len(marked) else marked
-            starts, _, own = _own_lines(w, lines, line_words, run_words, least_line)
-            rows = w.row[np.concatenate([marked, starts])]
-            places = np.concatenate([marked - w.first[w.row[marked]], -1 - (starts - w.first[w.row[starts]])])
-            g = np.concatenate([lines[marked], own])
-            doc, text = (batch.column(i).to_numpy()[rows] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(text | (places & _LOW))], names=["g", "doc", "at"])
+            g, first, after, e = _extents(w, *sizes)
+            yield _batch(w, batch, ["g", "e"], [g, e], first, after)
 
-    return docs.mapInArrow(run, "g long, doc long, at long")
+    return docs.mapInArrow(run, "g long, e long, doc long, at long, stop int")
 
 
-def runs(docs: DataFrame, line_words: int, run_words: int, least_line: int) -> DataFrame:
-    """docs (doc, text hash, text, marks): h, doc, at (text hash above, first code point below), stop, again: a row a
-    window or line with a fingerprint among marks; again where the run stands earlier in the same text."""
+def windows(docs: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+    """docs (doc, th, text, starts): h, doc, at, stop: a row a window of the extents with these first code points."""
 
     def run(batches):
         for batch in batches:
             w = batch_words(batch.column(2), places=True)
-            lines, whole = run_hashes(w.hash, line_words), run_hashes(w.hash, run_words)
-            marks = batch.column(3)
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
-            marks = marks.flatten().to_numpy()
-            line = marks < 0
-            wanted, wanted_line = np.zeros(len(w.hash), dtype=bool), np.zeros(len(w.hash), dtype=bool)
-            wanted[(w.first[rows] + marks)[~line]] = True
-            wanted_line[(w.first[rows] - 1 - marks)[line]] = True
-            windows, marked = _windows(w, lines, line_words, run_words)
-            windows = windows[wanted[marked]]
-            starts, ends, own = _own_lines(w, lines, line_words, run_words, least_line)
-            own_kept = wanted_line[starts]
-            h = np.concatenate([mix(whole[windows] + _RUN), own[own_kept]])
-            first, after = np.concatenate([windows, starts[own_kept]]), np.concatenate([windows + run_words, ends[own_kept]])
-            row = w.row[first]
-            order = np.lexsort((first, h, row))
-            h, first, after, row = h[order], first[order], after[order], row[order]
-            again = np.concatenate([[False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])])[: len(h)]
-            stop = np.append(w.start, 0)[after]
-            stop = np.where(after == w.first[row + 1], w.length[row], stop)
-            doc, text = (batch.column(i).to_numpy()[row] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(text | w.start[first]), pa.array(stop.astype(np.int32)), pa.array(again)], names=["h", "doc", "at", "stop", "again"])
-
-    return docs.mapInArrow(run, "h long, doc long, at long, stop int, again boolean")
+            lines, whole = run_hashes(w.hash, sizes[0]), run_hashes(w.hash, sizes[1])
+            own, marked = _windows(w, lines, *sizes[:2])
+            new = np.concatenate([[True], marked[1:] != marked[:-1]])[: len(marked)]
+            first = own[new]
+            lists = batch.column(3)
+            rows, wanted = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+            good = np.isin((w.row[first] << 32) | w.start[first], (rows << 32) | wanted)
+            kept = own[good[np.cumsum(new) - 1]] if len(own) else own
+            yield _batch(w, batch, ["h"], [mix(whole[kept])], kept, kept + sizes[1])
+
+    return docs.mapInArrow(run, "h long, doc long, at long, stop int")
 
 
 def _key() -> tuple[Column, Column]:
@@ -156,17 +174,19 @@ def repeats(docs: DataFrame, line_words: int = 26, run_words: int = 50, least_li
     sizes = (line_words, run_words, least_line)
     doc, th = _key()
     docs = docs.filter("text is not null").select(doc.alias("doc"), th.alias("th"), F.col("text").cast("string").alias("text"))
-    places = fingerprints(docs, *sizes)
-    repeated = cut(places.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
-    marked = places.join(repeated, "g").select("doc", _text_part("at").alias("th"), F.shiftright(F.shiftleft("at", 32), 32).cast("int").alias("place"))
-    marked = marked.groupBy("doc", "th").agg(F.collect_list("place").alias("marks"))  # no more than a text's words
-    found = staged(runs(docs.join(marked, ["doc", "th"]).select("doc", "th", "text", "marks"), *sizes))
+    repeated = cut(fingerprints(docs, sizes).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
+    found = staged(extents(docs, sizes).join(repeated, "g"))
     released(docs.sparkSession)
     place = F.struct("doc", "at")
-    others = found.filter("not again").select("h", "doc", "at", "stop")
-    first = cut(others.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("h", F.col("f.doc").alias("doc0"), F.col("f.at").alias("at0")))
-    later = others.join(first, "h").filter("doc <> doc0 or at <> at0").select("doc", "at", "stop")
-    later = later.unionByName(found.filter("again").select("doc", "at", "stop"))
+    kinds = cut(found.groupBy("e").agg(F.min("g").alias("g"), F.min(place).alias("f"), F.max(place).alias("l")))
+    first = kinds.filter("f <> l").select("e", F.col("f.doc").alias("doc0"), F.col("f.at").alias("at0"))
+    later = found.join(first, "e").filter("doc <> doc0 or at <> at0").select("doc", "at", "stop")
+    several = cut(kinds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
+    apart = kinds.join(several, "g").select("f.doc", _text_part("f.at").alias("th"), F.col("f.at").bitwiseAND(F.lit(_LOW)).cast("int").alias("start"))
+    apart = cut(apart.groupBy("doc", "th").agg(F.collect_list("start").alias("starts")))  # no more than a text's words
+    parts = staged(windows(docs.join(broadcast_if_small(apart, "starts"), ["doc", "th"]).select("doc", "th", "text", "starts"), sizes))
+    first = cut(parts.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("h", F.col("f.doc").alias("doc0"), F.col("f.at").alias("at0")))
+    later = later.unionByName(parts.join(first, "h").filter("doc <> doc0 or at <> at0").select("doc", "at", "stop"))
     span = F.shiftleft(F.col("at").bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.col("stop").cast("long"))
     return later.groupBy("doc", _text_part("at").alias("th")).agg(merged(F.sort_array(F.collect_list(span))).alias("cuts"))
 
@@ -175,7 +195,7 @@ def dedup(docs: DataFrame, line_words: int = 26, run_words: int = 50, least_line
     """The rows of docs with later repeated runs taken out of text; n_removed is the number of code points gone."""
     columns = [c for c in docs.columns if c.lower() != "n_removed"]
     own_doc, own_th, doc, th, cuts = fresh(docs, "own_doc", "own_th", "doc", "th", "cuts")
-    removed = cut(repeats(docs.select("doc_id", "text"), line_words, run_words, least_line))
+    removed = broadcast_if_small(cut(repeats(docs.select("doc_id", "text"), line_words, run_words, least_line)), "cuts")
     released(docs.sparkSession)
     removed = removed.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("cuts").alias(cuts))
     key = _key()

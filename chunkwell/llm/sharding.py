@@ -75,7 +75,7 @@ def shards(df: DataFrame, limit: int, carry: tuple[str, ...] = (), extra_bits: i
             if n_open:
                 raise ValueError("two rows share all bits")
             break
-        rows = staged(rows.join(broadcast_if_small(unsplit, n_open), cell == F.col("open_cell"), "left_semi"))
+        rows = staged(rows.join(broadcast_if_small(unsplit), cell == F.col("open_cell"), "left_semi"))
         base, depth = depth, min(BITS, depth + 8)
     if not done:
         leaves, _ = split_round(rows, depth, limit, base)

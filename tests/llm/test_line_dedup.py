@@ -38,7 +38,7 @@ def brute(docs, least, least_line=10**9):
 def test_winnowing_is_guaranteed():
     rng = np.random.default_rng(1)
     for _ in range(50):
-        h = rng.integers(0, 9, rng.integers(1, 60)).astype(np.uint64)
+        h = rng.integers(0, 9, rng.integers(1, 60)).astype(np.uint64) << np.uint64(30)
         places = set(D.winnow(h, 5).tolist())
         for i in range(len(h) - 4):
             window = h[i : i + 5]
