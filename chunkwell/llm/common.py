@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker, so that a batch of long texts stays small.
@@ -60,11 +60,17 @@ def large_batches(spark: SparkSession, rows: int = 8192):
         spark.conf.set(name, before)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, th, text: the key of a document, and its text (null: empty). doc is its id, for null the greatest long; th
-    hashes its text and whether its id is null, so that rows with one id are told apart by their texts."""
+def document_key() -> tuple[Column, Column]:
+    """The key of a row of documents. Its id, for null the greatest long; a hash of its text and of whether it or the
+    id is null, so that rows with one id are told apart by their texts."""
     doc = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc, F.lit((1 << 63) - 1).cast("long")).alias("doc"), F.xxhash64(doc.isNull(), F.col("text").isNull(), text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    return F.coalesce(doc, F.lit((1 << 63) - 1).cast("long")), F.xxhash64(doc.isNull(), F.col("text").isNull(), text_or_empty())
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc and th, the key of a document, and its text (null: empty)."""
+    doc, th = document_key()
+    return docs.select(doc.alias("doc"), th.alias("th"), text_or_empty().alias("text"))
 
 
 def released(spark: SparkSession) -> None:
