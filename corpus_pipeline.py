@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwell.llm import decontaminate, linededup, packing, simhash, toxicity
-from chunkwell.llm.common import broadcast_if_small, cut, staged, table
+from chunkwell.llm.common import cut, document_key, fresh, staged, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays. Rows with one doc_id are one document."""
-    groups = simhash.near_duplicates(docs, words=5, errors=3)
-    kept = cut(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_kept"))
-    rows = docs.join(broadcast_if_small(kept.select("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("n > 1 and _kept is not null").isEmpty():
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    """Of each group of documents that are 0.8 alike or more in runs of five words, equal texts included, the one with
+    the least doc_id stays (null last), of several with this id the text with the least hash. Of rows with one doc_id
+    and one text, which are one document, one stays. Texts without words are one group."""
+    groups = cut(simhash.similar(docs, words=5, similarity=0.8))
+    doc, th = fresh(docs, "doc", "th")
+    rows = docs.withColumns(dict(zip((doc, th), document_key())))
+    gone = groups.filter("doc <> leader_doc or th <> leader_th").select(F.col("doc").alias(doc), F.col("th").alias(th)).distinct()
+    rows = rows.join(gone, [doc, th], "left_anti")
+    twice = cut(groups.groupBy("doc", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias(doc), F.col("th").alias(th)))
+    if not twice.isEmpty():
+        rows = rows.join(twice, [doc, th], "left_anti").unionByName(rows.join(twice, [doc, th], "left_semi").dropDuplicates([doc, th]))
+    return rows.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
