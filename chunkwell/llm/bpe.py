@@ -13,6 +13,8 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 # fixed values: the characters of Unicode's White_Space property
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -29,7 +31,8 @@ PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHI
 #: A text without these may be cut before every full stop and comma as well.
 NO_STOP_CUT = re.compile(f"[^{LETTERS}{NUMBERS}][.,]|^[.,]|\x00")
 NOT_PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]")
-LONG_CONTRACTION = re.compile(r"'(?:re|ve|ll)")
+# fixed values: contractions of two letters
+LONG_CONTRACTIONS = {"'re", "'ve", "'ll"}
 #: Entries of a cache before it starts anew; bounds a worker's memory.
 CACHE = 300_000
 LONGEST_CACHED = 64
@@ -49,6 +52,14 @@ def units(text: str) -> list[str]:
     return ([first] if first else []) + [" " + x for x in rest]
 
 
+def _signed(byte: int) -> int:
+    return byte - 256 if byte > 127 else byte
+
+
+def _total(deltas: bytes) -> int:
+    return int(np.frombuffer(deltas, dtype=np.int8).sum(dtype=np.int64))
+
+
 class _Cache(dict):
     """unit -> value, computed on a miss."""
 
@@ -163,6 +174,8 @@ class Vocabulary:
                     raise ValueError(f"no encoding of {piece!r}")
             counts.append(found[0])
             start = found[2]
+            if not keep:  # no token reaches back further
+                known.pop(j - self.widest - 1, None)
         return counts
 
     def _piece_deltas(self, piece: str) -> bytes:
@@ -183,12 +196,35 @@ class Vocabulary:
         """For each code point of the unit, by how much the token count grows with it (signed bytes)."""
         if self._plain(unit) and (unit[0] not in WHITE or unit[1:2] not in WHITE) and "'" not in unit:
             return b"".join(map(self.tables.__getitem__, PIECE.findall(unit)))
+        out = []
+        while any(a in unit for a in self.added):
+            at, size = min((unit.find(a), -len(a)) for a in self.added if a in unit)
+            before, token, unit = unit[:at], unit[at : at - size], unit[at - size :]
+            # within the added token's string a prefix is ordinary text; with its last character the token stands alone
+            own, ordinary = self._ordinary(before), self._ordinary(before + token[:-1])
+            out += [own, ordinary[at:], bytes([(1 + _total(own) - _total(ordinary)) & 0xFF])]
+        return b"".join(out) + self._ordinary(unit)
+
+    def _ordinary(self, unit: str) -> bytes:
+        """_deltas of a unit in which no added token counts."""
+        if not unit:
+            return b""
         lead = re.match(f"[{WHITE}]*", unit).end()
-        if lead > 1 or LONG_CONTRACTION.search(unit) or any(a in unit for a in self.added):
-            # a cut here may change how the text before it is split: each prefix is encoded
-            counts = [len(self._encode(unit[: k + 1])) for k in range(len(unit))]
-            return bytes((b - a) & 0xFF for a, b in zip([0, *counts], counts))
-        return b"".join(self.tables[unit[a:b]] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit))
+        if lead > 1:
+            # a run of white space is one piece while nothing follows; then its last character parts from the others
+            blanks = self.tables[unit[:lead]]
+            if lead == len(unit):
+                return blanks
+            rest = self._ordinary(unit[lead - 1 :])
+            shorter, own = _total(blanks[:-1]), _signed(rest[0])
+            # count(blanks) at the lead's end, then count(blanks less one) and what the rest has up to each place
+            return blanks + bytes([(shorter + own + _signed(rest[1]) - _total(blanks)) & 0xFF]) + rest[2:]
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)
+        return b"".join(self._contraction(unit[a:b]) if unit[a:b] in LONG_CONTRACTIONS else self.tables[unit[a:b]] for _, (a, b) in pieces)
+
+    def _contraction(self, piece: str) -> bytes:
+        """Cut after its first letter, it is an apostrophe and a letter: two pieces."""
+        return bytes([1, 1, (self._count(piece)[-1] - 2) & 0xFF])
 
     def prefix_deltas(self, text: str) -> bytes:
         """deltas[p] is count(text[: p + 1]) - count(text[:p]) as a signed byte, for each code point."""

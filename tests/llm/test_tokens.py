@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -25,6 +26,23 @@ def test_every_prefix_is_exact(vocab):
         assert token_counts.counts_of(vocab.prefix_deltas(text)).tolist() == expected, repr(text)
 
 
+def test_fits_is_the_longest_prefix(vocab):
+    for text in texts(300, 9):
+        counts = [len(vocab.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        for budget in range(4):
+            assert token_counts.longest_prefix(token_counts.counts_of(vocab.prefix_deltas(text)), budget) == max(k for k, n in enumerate(counts) if n <= budget)
+
+
+@pytest.mark.parametrize("text", ["\n\n" + "bcdfgaeiou" * 3000, " " * 30_000, "\n" * 30_000 + "x", "  " + "日本語" * 3000, "<|endoftext|>" * 3000, " 're" * 3000, "\t \n" * 5000 + "<|endoftext|>  "], ids=lambda t: repr(t[:8]))
+def test_long_units(vocab, text):
+    """Linear in the length: encoding each prefix would take hours here."""
+    began = time.time()
+    counts = token_counts.counts_of(vocab.prefix_deltas(text))
+    assert time.time() - began < 20
+    for k in (1, 2, 3, 100, 2999, len(text) - 1, len(text)):
+        assert counts[k] == len(vocab.tokenizer.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_ids_are_the_librarys(vocab):
     for text in texts(1500, 2):
         assert np.frombuffer(vocab.encode_bytes(text), "<u4").tolist() == vocab.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
@@ -40,10 +58,9 @@ def test_prefix_counts(spark, vocab):
     long = "word " * 2000
     rows = spark.createDataFrame([(1, "one two", "x"), (2, "", "y"), (3, None, "z"), (None, long, "w"), (1, "one two", "x")], "doc_id long, text string, n_bytes string")
     got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit, r.fits_chars, len(r.token_deltas)) for r in token_counts.prefix_counts(rows, limit=10).collect()))
-    n = len(vocab.tokenizer.encode(long).ids)
-    fits = max(k for k in range(len(long)) if len(vocab.tokenizer.encode(long[:k]).ids) <= 10) if n < 0 else got[0][4]
+    counts = [len(vocab.tokenizer.encode(long[:k]).ids) for k in range(80)]  # it only grows: 10 tokens come long before
+    fits, n = max(k for k in range(80) if counts[k] <= 10), len(vocab.tokenizer.encode(long).ids)
     assert got == [(0, 10000, n, True, fits, 10000), (1, 7, 2, False, 7, 7), (1, 7, 2, False, 7, 7), (2, 0, 0, False, 0, 0), (3, 0, 0, False, 0, 0)]
-    assert len(vocab.tokenizer.encode(long[:fits]).ids) <= 10 < len(vocab.tokenizer.encode(long[: fits + 1]).ids)
     assert token_counts.prefix_counts(rows.limit(0)).count() == 0
 
 
