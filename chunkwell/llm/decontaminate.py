@@ -11,9 +11,11 @@ a row of hits on one diagonal and in one group only the first goes on. There the
 token by token: it counts as a leak if `share` of the item's tokens are in their places, or if some stretch reaches
 `stretch` with 1 for each token in place and -2 for each other.
 
-Items that are shorter than ten tokens but have `least` tokens or more match only whole and exactly; shorter
-ones never. Benchmark items with equal tokens are one item, named by the least item_id. Null and empty texts have
-no tokens. Rows with one doc_id are one document. Extra columns are not carried. Empty tables give no rows.
+Items of five to nine tokens may miss one of them: then too, three are in place in their first group. Items of three
+or four tokens match only whole, and shorter ones never, as they stand in too many texts by chance. Benchmark items
+with equal tokens are one item, named by the least item_id. Null and empty texts have no tokens. Rows with one doc_id
+and one text are one document; texts that share a doc_id are searched each for itself. Null ids are ids like others.
+Extra columns are not carried. Empty tables give no rows.
 
 The benchmark's seeds are broadcast only within a counted bound; beyond it documents' seeds are shuffled and the
 documents with hits are joined again.
@@ -24,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, broadcast_if_small, cut, text_or_empty
+from .common import BROADCAST_BYTES, broadcast_if_small, cut, fresh, text_or_empty
 
 #: Tokens of an item that its seeds are taken from together.
 GROUP = 5
 #: 1: the token counts, 0: it may differ. The shapes of any three tokens of a group.
 MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
-#: Items with fewer tokens match only whole.
-WHOLE_BELOW = 10
+#: Items with fewer tokens may miss one, and those with less than a group none.
+SHORT_BELOW = 10
 
 
 def tokens(text: Column) -> Column:
@@ -71,14 +73,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return th.groupBy("th").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: int = 12, least: int = 5) -> DataFrame:
-    """doc_id, item_id, place (of the item's first token in the document), n_match, n_item: the best diagonal of each leak."""
+def text_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: int = 12, least: int = 3) -> DataFrame:
+    """leaks() by doc_id and text_hash."""
     items = cut(items_of(benchmark))
-    lengths = sorted(r[0] for r in items.select(F.size("th").alias("n")).filter(F.col("n").between(least, WHOLE_BELOW - 1)).distinct().collect())  # under WHOLE_BELOW values
+    lengths = sorted(r[0] for r in items.select(F.size("th").alias("n")).filter(F.col("n").between(least, GROUP - 1)).distinct().collect())  # under GROUP values
     masks = (*MASKS, *("1" * n for n in lengths))
     length = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask").cast("int") + 1)
     group = F.floor(F.col("place") / GROUP)
-    in_group = (F.size("th") >= WHOLE_BELOW) & (group == F.floor((F.col("place") + length - 1) / GROUP)) & ((group + 1) * GROUP <= F.size("th"))
+    in_group = (F.size("th") >= GROUP) & (group == F.floor((F.col("place") + length - 1) / GROUP)) & ((group + 1) * GROUP <= F.size("th"))
     own = seeds(items, masks, ("item_id",)).filter(F.when(F.col("mask") < len(MASKS), in_group).otherwise(F.size("th") == length))
     own = cut(own.select("item_id", F.col("place").alias("item_place"), "h"))
     small = 40 * own.count() <= BROADCAST_BYTES
@@ -88,24 +90,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, stretch: in
     laid = seeds(rows, masks, ("doc_id", "text_hash"))
     diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
     if small:
-        hits = laid.join(F.broadcast(own), "h").join(items, "item_id").filter(_first_of_row(masks)).select("doc_id", "th", "item_id", "item", diagonal)
+        hits = laid.join(F.broadcast(own), "h").join(items, "item_id").filter(_first_of_row(masks)).select("doc_id", "text_hash", "th", "item_id", "item", diagonal)
     else:
         found = laid.select("doc_id", "text_hash", "place", "h").join(own, "h").select("doc_id", "text_hash", "item_id", diagonal).distinct()
         same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
-        hits = rows.dropDuplicates(["doc_id", "text_hash"]).alias("d").join(found.alias("f"), same).select("d.doc_id", "d.th", "f.item_id", "f.diagonal").join(items, "item_id")
+        hits = rows.dropDuplicates(["doc_id", "text_hash"]).alias("d").join(found.alias("f"), same).select("d.doc_id", "d.text_hash", "d.th", "f.item_id", "f.diagonal").join(items, "item_id")
     # the part of the document under the item; one row a diagonal goes on
-    laid_on = hits.select("doc_id", "item_id", "diagonal", "item", F.transform("item", lambda t, i: F.get("th", F.col("diagonal") + i)).alias("part"))
-    laid_on = laid_on.groupBy("doc_id", "item_id", "diagonal").agg(F.min("item").alias("item"), F.max("part").alias("part"))
-    checked = laid_on.select("doc_id", "item_id", "diagonal", F.size("item").alias("n_item"), F.zip_with("item", "part", lambda a, b: F.coalesce(a == b, F.lit(False))).alias("same"))
+    laid_on = hits.select("doc_id", "text_hash", "item_id", "diagonal", "item", F.transform("item", lambda t, i: F.get("th", F.col("diagonal") + i)).alias("part"))
+    laid_on = laid_on.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(F.min("item").alias("item"), F.max("part").alias("part"))
+    checked = laid_on.select("doc_id", "text_hash", "item_id", "diagonal", F.size("item").alias("n_item"), F.zip_with("item", "part", lambda a, b: F.coalesce(a == b, F.lit(False))).alias("same"))
     best = F.aggregate("same", F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, x: F.struct(F.greatest(F.lit(0), s.run + F.when(x, 1).otherwise(-2)).alias("run"), F.greatest(s.best, s.run + F.when(x, 1).otherwise(-2)).alias("best")), lambda s: s.best)
-    scored = checked.select("doc_id", "item_id", "diagonal", "n_item", F.size(F.filter("same", lambda x: x)).alias("n_match"), best.alias("stretch"))
-    kept = scored.filter(F.when(F.col("n_item") < WHOLE_BELOW, F.col("n_match") == F.col("n_item")).otherwise((F.col("n_match") >= share * F.col("n_item")) | (F.col("stretch") >= stretch)))
-    top = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_match", -F.col("diagonal"), "n_item")).alias("m"))
-    return top.select("doc_id", "item_id", (-F.col("m.col2")).cast("long").alias("place"), F.col("m.n_match").cast("long").alias("n_match"), F.col("m.n_item").cast("long").alias("n_item"))
+    scored = checked.select("doc_id", "text_hash", "item_id", "diagonal", "n_item", F.size(F.filter("same", lambda x: x)).alias("n_match"), best.alias("stretch"))
+    enough = F.when(F.col("n_item") < GROUP, F.col("n_match") == F.col("n_item")).when(F.col("n_item") < SHORT_BELOW, F.col("n_match") >= F.col("n_item") - 1)
+    kept = scored.filter(enough.otherwise((F.col("n_match") >= share * F.col("n_item")) | (F.col("stretch") >= stretch)))
+    return kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("n_match", (-F.col("diagonal")).alias("before"), "n_item")).alias("m"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+    """doc_id, item_id, place (of the item's first token in the document), n_match, n_item: the best diagonal of each
+    leak, of equal ones the first; of the texts with one doc_id the best."""
+    top = text_leaks(docs, benchmark, **limits).groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
+    return top.select("doc_id", "item_id", (-F.col("m.before")).cast("long").alias("place"), F.col("m.n_match").cast("long").alias("n_match"), F.col("m.n_item").cast("long").alias("n_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows of docs whose doc_id has no leak."""
-    found = cut(leaks(docs, benchmark, **limits).select(F.col("doc_id").alias("_leak")).distinct())
-    bad = broadcast_if_small(found)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of docs without a leak."""
+    doc, th = fresh(docs, "leak_doc", "leak_hash")
+    found = cut(text_leaks(docs, benchmark, **limits).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(th)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th))
+    return docs.join(broadcast_if_small(found), same, "left_anti")

@@ -1,11 +1,13 @@
 import hashlib
+import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chunkwell.llm import chat, decontaminate, fingerprint, html, sharding, toxicity
+from chunkwell.llm import chat, decontaminate, fingerprint, html, registry, sharding, toxicity
 
 
 def test_toxicity(spark):
@@ -59,6 +61,29 @@ def test_decontamination(spark):
     assert clean == {i for i, _ in docs} - {i for i, _ in expected} - {None}
 
 
+def test_decontamination_of_short_items_and_repeated_ids(spark):
+    items = [(0, "alpha beta gamma delta"), (1, "one two three four five six"), (2, "to be"), (3, "red green blue")]
+    docs = [(1, "x Alpha, beta gamma delta y"), (2, "alpha beta gamma no"), (3, "a one two THREE no five six"), (4, "one no three no five six"), (5, "to be"), (6, "red green blue"), (7, "clean"), (7, "one two three four five six"), (7, "red green"), (7, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(1, 0), (3, 1), (6, 3), (7, 1)}
+    left = decontaminate.decontaminate(d.withColumn("leak_doc", F.lit(1)).withColumn("_leak_doc", F.lit(2)), b)
+    assert sorted((r.doc_id, r.text, r._leak_doc) for r in left.collect()) == sorted((i, t, 2) for i, t in docs if i in (2, 4, 5) or t in ("clean", "red green"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op6_decontamination", "op8_sharding"])
+def test_same_rows_as_sql(spark, name, monkeypatch):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    monkeypatch.setattr(registry, "SHARD_BYTES", 20_000)
+    cursor = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in cursor.description]
+    expected = sorted(map(repr, cursor.fetchall()))
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert len(expected) > 2 and sorted(repr(tuple(r)) for r in got) == expected
+
+
 def test_decontamination_finds_all_that_it_accepts(spark):
     """Items with replaced tokens, by period and at random, against every diagonal tried."""
     rng = random.Random(6)
