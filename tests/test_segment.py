@@ -22,7 +22,7 @@ def tokens(spark, texts, options):
     return list(out.values())
 
 
-def test_reference_cases(spark):
+def test_conformance_cases(spark):
     for limit in {c[1] for c in CASES}:
         own = [c for c in CASES if c[1] == limit]
         assert tokens(spark, [c[0] for c in own], SegmentOptions(limit)) == [c[2] for c in own]
