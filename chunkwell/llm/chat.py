@@ -6,7 +6,8 @@ are escaped as well, so that a role ends at its first newline.
 
 Prefix sums of turn tokens choose the windows: a window holds the conversation's system turn (its first turn, if
 its role is system), then the latest earlier turns within the history budget, then as many new turns as fit the
-budget, but at least one. The mask covers the texts of assistant turns that are new in the window; repeated
+budget. History makes way for a new turn, oldest first. A window is over the budget only if it has one new turn that is
+over it with the system turn alone. The mask covers the texts of assistant turns that are new in the window; repeated
 history and the repeated system turn are not masked in again.
 
 Null texts, roles and conversation ids: an empty text, an empty role, one conversation of its own. Turns order by
@@ -73,6 +74,8 @@ class _Windows:
         self.first = False
         if self.new and self.context_tokens() + self.prefix[-1] + tokens > self.budget and not (self.number == 0 and self.system and len(self.new) == 1):
             yield self.flush()
+        while not self.new and self.past and self.context_tokens() + tokens > self.budget:
+            self.past_tokens -= self.past.popleft()[1]
         self.new.append(turn)
         self.prefix.append(self.prefix[-1] + tokens)
 
@@ -140,7 +143,7 @@ def read_back(formatted: str, spans: list[dict]) -> tuple[list[tuple[str, str]],
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What windows(), in its order of rows, reads back to: one row a conversation."""
+    """What windows() reads back to: one row a conversation, whatever the order of rows."""
 
     def run(batches):
         done, state = [], None
@@ -173,4 +176,5 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

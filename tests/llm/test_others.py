@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chunkwell.llm import chat, decontaminate, fingerprint, html, registry, sharding, toxicity
+from chunkwell.llm import bpe, chat, decontaminate, fingerprint, html, registry, sharding, toxicity
 
 
 def test_toxicity(spark):
@@ -164,10 +164,22 @@ def test_chat(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    shuffled = {r.conv_id: r for r in chat.digests(made.repartition(7, "window")).collect()}
+    assert shuffled == got
+    vocab = bpe.vocabulary(bpe.default_path())
+    over = history = 0
     for r in made.collect():
-        assert r.n_tokens <= 120 or r.n_turns - r.n_context == 1 or r.n_turns - r.n_context == 2 and r.window == 0
+        # over the budget only if the one new turn is so with the system turn alone, and then without any history
+        turns, _ = chat.read_back(r.formatted, r.spans)
+        system = turns[0][0] == "system"
+        sizes = [len(vocab.encode_bytes(t)) // 4 for t in re.findall(r"<\|im_start\|>.*?<\|im_end\|>\n", r.formatted, re.DOTALL)]
+        assert len(turns) == r.n_turns and sum(sizes) == r.n_tokens
+        assert r.n_tokens <= 120 or r.n_turns == 1 + system
+        repeated = sum(sizes[system if r.window else 0 : r.n_context])
+        assert repeated <= 40
+        over, history = over + (r.n_tokens > 120), history + (repeated > 0)
         assert "<|" not in re.sub(r"<\|im_(start|end)\|>", "", r.formatted)
-    assert chat.windows(d.limit(0)).count() == 0
+    assert over and history and chat.windows(d.limit(0)).count() == 0
 
 
 def test_fingerprints(spark):
