@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,40 @@ def test_toxicity(spark):
     assert none == 0.0
 
 
+def test_toxicity_risk_and_its_gradient():
+    """Against the risk written out, and its gradient by differences."""
+    rng = np.random.default_rng(3)
+    docs = lambda n: [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(n)]
+    pos, unl, prior = docs(15), docs(40), 0.2
+    risk = toxicity.Risk(pos, unl, prior, 6)
+
+    def written_out(w):
+        loss = lambda docs, sign: np.mean([np.log(1 + np.exp(-sign * (sum(w[k] for k in d) + w[6]))) for d in docs])
+        return prior * loss(pos, 1), loss(unl, -1) - prior * loss(pos, -1)
+
+    for _ in range(5):
+        w = rng.normal(size=7)
+        first, g_first, rest, g_rest = risk.parts(w)
+        assert np.allclose((first, rest), written_out(w))
+        for k in range(7):
+            step = np.eye(7)[k] * 1e-6
+            up, down = written_out(w + step), written_out(w - step)
+            assert np.allclose((g_first[k], g_rest[k]), [(a - b) / 2e-6 for a, b in zip(up, down)], atol=1e-6)
+
+
+def test_toxicity_steps_up_where_the_risk_is_negative():
+    """One feature marks P and no text of U: the second part turns negative, and is brought back to 0 or so."""
+    pos, unl = [np.array([0])] * 50, [np.array([], dtype=np.int64)] * 200
+    for steps in (50, 400):
+        w, b = toxicity.train(pos, unl, 0.2, 1, steps=steps)
+        assert toxicity.Risk(pos, unl, 0.2, 1).parts(np.append(w, b))[2] > -0.1
+
+
+def test_long_tokens_count():
+    words = toxicity._Words(None)
+    assert toxicity.text_features("x" * 100, words) and toxicity.text_features("x" * 100, words) != toxicity.text_features("x" * 99, words) and not words
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
