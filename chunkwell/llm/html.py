@@ -2,14 +2,17 @@
 
 A tokenizer in one pass feeds a tree builder that knows void elements, raw-text elements and implied end tags (a
 paragraph ends where a block begins, an item at the next item of its list, a cell or row at the next one); end
-tags without a start are ignored, elements left open end with their parent. The renderer walks the tree without
-recursion and leaves out what is not displayed: head, script, style, template and the like, elements with the
-hidden attribute or an inline style of display none or visibility hidden (aria-hidden is displayed, and kept).
+tags without a start are ignored, elements left open end with their parent; in SVG and MathML a tag may end itself.
+The renderer walks the tree without recursion and leaves out what is not displayed: head, script, style, template and
+the like, what SVG and MathML define but do not draw, fallbacks of media, elements with the hidden attribute or an
+inline style of display none (aria-hidden is displayed, and kept). Visibility is inherited: text is left out where the
+nearest inline style that sets it says hidden or collapse. Style sheets are not applied.
 
 White space collapses except in pre and textarea. Blocks stand on lines of their own; paragraphs, headings, lists
 at the outer level, tables, quotes and pre have an empty line around. Items have `- ` or their number, indented by
-the depth of the list. A table row is a line (more if a cell has more), its cells padded to their column's width
-and two blanks apart; a column is padded to MAX_PAD characters at most.
+the depth of the list. A table row is a line (more if a cell has more), and each column begins at the same place in all
+rows, two blanks after the one before. Columns are as wide as their widest cell, but COLUMN at most: after a longer
+cell the row goes on at its next column on a new line. Cells that span rows or columns keep their places free.
 
 Null and empty pages give an empty text. Text without tags is text. Rows pass through one by one, repeated or not,
 with their extra columns; columns named as the results are replaced. Any length and depth is rendered whole.
@@ -27,15 +30,18 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, text_or_empty
 
-MAX_PAD = 60
+#: Characters of a column that other cells are moved right for.
+COLUMN = 60
 
 # fixed values: elements of the HTML standard by kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NOT_SHOWN = frozenset("head script style template title meta link base noembed noframes iframe datalist object audio video canvas svg math param source track area".split())
+NOT_SHOWN = frozenset("head script style template title meta link base noembed noframes iframe datalist audio video canvas param source track area".split())
+# fixed values: what SVG and MathML hold but do not draw
+NOT_SHOWN |= frozenset("defs symbol desc metadata clippath lineargradient radialgradient marker mask pattern filter annotation annotation-xml".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = frozenset("p blockquote figure pre table dl ul ol menu fieldset".split()) | HEADINGS
-BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li listing main nav option optgroup search section select summary tbody td tfoot th thead tr caption".split())
+BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li listing main nav option optgroup search section select summary tbody td tfoot th thead tr caption svg text foreignobject".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p pre search section summary table ul dd dt".split()) | HEADINGS
 #: start tag -> the elements it ends, and those beyond which it does not look
 IMPLIED = {
@@ -60,7 +66,7 @@ MARKUP = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 
 
 class Node:
@@ -149,16 +155,22 @@ def parse(page: str) -> Node:
             node.children.append(entities.unescape(body) if tag in ("textarea", "title") else body)
             at = close.end() if close else end
             continue
+        if raw.endswith("/") and (tag in ("svg", "math") or open_tags.get("svg") or open_tags.get("math")):
+            continue
         open_tags[tag] = open_tags.get(tag, 0) + 1
         here = node
     return root
 
 
+def styles(node: Node) -> dict[str, str]:
+    """display and visibility of an inline style; of several the last."""
+    return {m[1].lower(): m[2].lower() for m in STYLE.finditer(node.attrs["style"])} if "style" in node.attrs else {}
+
+
 def shown(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in NOT_SHOWN or (a and ("hidden" in a or ("style" in a and HIDDEN.search(a["style"])))):
+    if node.tag in NOT_SHOWN or (node.attrs and ("hidden" in node.attrs or styles(node).get("display") == "none")):
         return False
-    return not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
 
 
 class Box:
@@ -209,42 +221,70 @@ class Box:
         return self.lines
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """rows: of each cell its lines and how many columns and rows it spans."""
     widths: list[int] = []
+    taken: dict[int, int] = {}  # column -> rows in which a cell from above still stands there
+    placed: list[list[tuple[list[str], int]]] = []
     for row in rows:
-        column = 0
-        for lines, span in row:
+        own, column, below = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, span, depth in row:
+            while column in taken:
+                column += 1
+            own.append((lines, column))
             widths += [0] * (column + span - len(widths))
             if span == 1:
-                widths[column] = max(widths[column], min(MAX_PAD, max(map(len, lines), default=0)))
+                widths[column] = max(widths[column], min(COLUMN, max(map(len, lines), default=0)))
+            if depth > 1:
+                below |= dict.fromkeys(range(column, column + span), depth - 1)
             column += span
+        taken = below
+        placed.append(own)
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + width + 2 * (width > 0))
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            text, column = "", 0
-            for lines, span in row:
+    for own in placed:
+        for k in range(max((len(lines) for lines, _ in own), default=0)):
+            text = ""
+            for lines, column in own:
                 cell = lines[k] if k < len(lines) else ""
-                text += cell.ljust(sum(widths[column : column + span]) + 2 * (span - 1)) + "  "
-                column += span
+                if not cell:
+                    continue
+                if text and len(text) + 2 > starts[column]:
+                    out.append(text.rstrip())
+                    text = ""
+                text = text.ljust(starts[column]) + cell
             out.append(text.rstrip())
     return out
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1")
+    return min(most, int(value)) if re.fullmatch(r"\d{1,5}", value) else 1
+
+
 def render(root: Node) -> str:
     box = Box()
     boxes: list[Box] = []
     lists: list[list] = []  # [ordered, next number]
     tables: list[list] = []  # rows
     pre = 0
+    visible = [True]
     stack: list[tuple] = [(child, False) for child in reversed(root.children)]
     while stack:
         node, leaving = stack.pop()
         if type(node) is str:
-            if pre:
+            if not visible[-1]:
+                pass
+            elif pre:
                 box.exact(node)
             else:
                 box.inline(node)
             continue
+        if node is None:
+            visible.pop()
+            continue
         tag = node.tag
         if not leaving:
             if not shown(node):
@@ -286,6 +326,10 @@ def render(root: Node) -> str:
                 box = Box()
             elif tag in ("pre", "listing", "textarea", "xmp"):
                 pre += 1
+            own = styles(node).get("visibility") if node.attrs else None
+            if own in ("visible", "hidden", "collapse"):
+                visible.append(own == "visible")
+                stack.append((None, True))
             stack.append((node, True))
             stack.extend((child, False) for child in reversed(node.children))
             continue
@@ -293,10 +337,10 @@ def render(root: Node) -> str:
             lines = box.finish()
             box = boxes.pop()
             lists.pop()
-            span = node.attrs.get("colspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((lines, max(1, min(1000, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1))
+            # limits of the HTML standard; 0 rows are all that follow
+            tables[-1][-1].append((lines, max(1, _span(node, "colspan", 1000)), _span(node, "rowspan", 65534) or 65534))
             continue
         if tag == "table":
             box.block(table_lines(tables.pop()))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -245,6 +246,77 @@ HTML = [
 ]
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<p>a<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "ax=1 b"),
+    ("a<svg><title>t</title><defs><text>no</text></defs><circle r=1 /><text>one</text><text>two</text></svg>b", "a\none\ntwo\nb"),
+    ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div><i style='backface-visibility:hidden'>back</i>", "yes\nback"),
+    ("<span style='color:red; DISPLAY : none'>no</span><object>fallback</object>", "fallback"),
+    ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>c<td>d</table>", "A  b1\n   b2\nc  d"),
+    ("<table><tr><td rowspan=0>A<td colspan=2>b<td>x<tr><td>b2<td>c<td>yy</table>", "A  b      x\n   b2  c  yy"),
+    (f"<table><tr><td>{'w' * 70}<td>next<tr><td>s<td>t</table>", "w" * 70 + "\n" + " " * 62 + "next\ns" + " " * 61 + "t"),
+], ids=range(7))
+def test_what_is_visible_and_where(page, expected):
+    assert html.page_text(page) == expected
+
+
+def made_page(rng, words, depth=0, seen=True):
+    """A random piece of a page and the words of it that are visible, in order."""
+    out, said = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "text", "block", "inline", "hidden", "none", "visible", "list", "raw", "comment"] if depth < 4 else ["text"])
+        inner, own = made_page(rng, words, depth + 1, seen if kind not in ("hidden", "visible") else kind == "visible") if kind not in ("text", "raw", "comment") else ("", [])
+        if kind == "text":
+            own = [f"w{next(words)}" for _ in range(rng.randint(1, 3))]
+            out.append(rng.choice([" ", "\n", ""]) + " ".join(own) + " ")
+            said += own if seen else []
+        elif kind == "raw":
+            out.append(rng.choice(["<script>if (a<b) 'x'</script>", "<style>p {}</style>", "<template>no</template>"]))
+        elif kind == "comment":
+            out.append("<!-- <p>no</p> -->")
+        elif kind == "list":
+            out.append(f"<ul><li>{inner}<li>end </ul>")
+            said += own + (["end"] if seen else [])
+        else:
+            tag = rng.choice(["div", "section", "blockquote"]) if kind == "block" else rng.choice(["span", "b", "i"])
+            style = {"hidden": " style='visibility: hidden'", "visible": ' style="x:y;visibility:visible"', "none": rng.choice([" hidden", " style='display:none'"])}.get(kind, "")
+            tag = "div" if kind not in ("block", "inline") or "<" in inner else tag
+            out.append(f"<{tag}{style}>{inner}</{tag}>")
+            said += [] if kind == "none" else own
+    return "".join(out), said
+
+
+def test_all_visible_text_against_the_pages_maker():
+    for seed in range(300):
+        rng = random.Random(seed)
+        page, said = made_page(rng, itertools.count())
+        assert [w for w in html.page_text(page).split() if w != "-"] == said, page
+
+
+def test_cells_align():
+    """Every cell begins where its column does; spans are laid on a grid of their own here."""
+    for seed in range(100):
+        rng = random.Random(seed)
+        n_rows, n_columns, number = rng.randint(1, 5), rng.randint(2, 5), itertools.count()
+        grid, page, starts = [[None] * n_columns for _ in range(n_rows)], "<table>", {}
+        for r in range(n_rows):
+            page += "<tr>"
+            for c in range(n_columns):
+                if grid[r][c] is not None:
+                    continue
+                down = rng.randint(1, n_rows - r)
+                text = f"c{next(number)}" + "x" * rng.choice([0, 1, 5, 80])
+                for k in range(r, r + down):
+                    grid[k][c] = text
+                page += f"<td rowspan={down}>{text}"
+                starts[text] = c
+        lines = html.page_text(page + "</table>").split("\n")
+        at = {}
+        for line in lines:
+            for m in re.finditer(r"\S+", line):
+                at.setdefault(starts[m[0]], set()).add(m.start())
+        assert all(len(places) == 1 for places in at.values()) and sum(len(line.split()) for line in lines) == len(starts), page
+
+
 def test_html(spark):
     rows = spark.createDataFrame([(i, h, "u") for i, (h, _) in enumerate(HTML)] + [(99, None, "u")], "page_id long, html string, text string")
     got = {r.page_id: r for r in html.extract(rows).collect()}
