@@ -5,11 +5,13 @@ the line. A paragraph's digest is 48 bits of its hash and 16 of its length. Each
 cells, one in each third of the sketch; a cell holds how many digests it has, their exclusive or, and that of
 their checks. Two sketches subtract cell by cell, and what is left is peeled: a cell with a single digest gives it
 away, which is then taken out of its other cells, and so on. If cells remain, sketches four times as large are
-made of both and tried in turn. The digests recovered are those of the paragraphs that differ; likeness is the
-share of the two texts' paragraphs, by length, that doesn't.
+made of both and tried in turn; if the largest does not peel either, the digests themselves are compared. The digests
+recovered are those of the paragraphs that differ; likeness is the share of the two texts' paragraphs, by length, that
+doesn't. A paragraph counts once however often and wherever it stands in a text: a text with its paragraphs in another
+order, or one of them twice, is as like as the same text.
 
-Everything is a function of a row: arrays sorted by cell, runs of equal cells summed. The only shuffle brings
-neighbours in the order of doc_id together, by ranges of ids of bounded number.
+Everything is a function of a row: arrays sorted by cell, runs of equal cells summed. The only shuffle of texts brings
+neighbours in the order of doc_id together, by ranges of ids with about as many rows each.
 
 A null text is empty; an empty text has no paragraphs and an empty sketch; two empty sketches have likeness 1.
 Null ids come last. Rows with one id order by a hash of their texts; equal rows are each other's neighbours. Extra
@@ -18,6 +20,8 @@ columns are not carried. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,8 @@ from .common import cut, text_or_empty
 UNIT = 80
 WIDTH = 8  # cells in a third of the smallest sketch
 GROWTH = 4
-LEVELS = 12
-ROUNDS = 64
+LEVELS = 10  # the largest has as many cells in a third as there are hashes for it, 2^21
+ROUNDS = 64  # of peeling; sketches that peel do so in far fewer
 
 CELLS = "array<struct<i:int,c:int,k:bigint,x:int>>"
 DIGESTS = "array<struct<k:bigint,c:int>>"
@@ -114,7 +118,7 @@ def peeled(cells: Column, width: Column) -> Column:
 
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """The digests in which the key sets a and b differ: from the smallest sketches, given as cells, or from the
-    first of the larger ones that peels whole; null if none does."""
+    first of the larger ones that peels whole, or compared if none does."""
     none = F.array().cast(DIGESTS)
 
     def attempt(level):
@@ -123,13 +127,14 @@ def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column
         return let(let(left, lambda c: peeled(c, width)), lambda p: F.struct((F.size(p["cells"]) == 0).alias("done"), p["digests"].alias("digests")))
 
     tried = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), F.struct(F.lit(False).alias("done"), none.alias("digests")), lambda acc, level: F.when(acc["done"], acc).otherwise(attempt(level)))
-    return let(tried, lambda t: F.when(t["done"], t["digests"]))
+    one_sided = lambda x, y, sign: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(sign).alias("c")))
+    return let(tried, lambda t: F.when(t["done"], t["digests"]).otherwise(F.concat(one_sided(a, b, 1), one_sided(b, a, -1)).cast(DIGESTS)))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     total = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + length_of(k))
     apart = let(difference(a, b, cells_a, cells_b), lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda s, e: s + length_of(e["k"])))
-    return let(total(a) + total(b), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.coalesce(apart, n) / n)).cast("double")
+    return let(total(a) + total(b), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - apart / n)).cast("double")
 
 
 def written(cells: Column) -> Column:
@@ -138,22 +143,32 @@ def written(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda e: F.concat(h(e["i"], 2), h(e["c"], 4), h(e["k"], 16), h(e["x"], 8))), ""))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 1024, max_buckets: int = 20_000) -> DataFrame:
+def bucket_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are no greater, by way of every so many of them; -1 for null."""
+    step = max(1, math.isqrt(len(bounds)))
+    numbers = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast("array<bigint>")  # noqa: E731  one literal
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= doc_id))
+    if not bounds:
+        return F.when(doc_id.isNull(), -1).otherwise(0)
+    inner = lambda k: F.when(k == 0, 0).otherwise((k - 1) * step + upto(F.slice(numbers(bounds), (k - 1) * step + 1, F.lit(step))))
+    return F.when(doc_id.isNull(), -1).otherwise(let(upto(numbers(bounds[::step])), inner))
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 1024, max_buckets: int = 1 << 16) -> DataFrame:
     """doc_id, text and next_text, that of the next document by falling doc_id (after the last: of the first)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(max_buckets, n // bucket_rows))))
-    bucket = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) div {width} as long)"), F.lit(-1).cast("long"))
-    rows = rows.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    # each range's first document, and the range that it follows: at most max_buckets rows
+    buckets = min(max_buckets, max(1, rows.count() // bucket_rows))
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets))).first()[0] if shares else []
+    rows = rows.select(bucket_of(F.col("doc_id"), sorted(set(bounds or []))).alias("bucket"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    # each range's first document, and the range that it follows: no more rows than buckets
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), "th")
     heads = cut(rows.groupBy("bucket").agg(F.max(order).alias("head")))
     following = heads.select("bucket", F.coalesce(F.lead("head").over(Window.orderBy(F.desc("bucket"))), F.first("head").over(Window.orderBy(F.desc("bucket")))).alias("head"))
-    keyed = rows.withColumn("head", order).select("head", F.col("text").alias("edge_text"))
-    edges = cut(keyed.join(F.broadcast(following), "head").groupBy("bucket").agg(F.min("edge_text").alias("edge_text")))
+    keyed = rows.select(order.alias("head"), F.col("text").alias("edge_text"))
+    edges = cut(keyed.join(F.broadcast(following), "head").groupBy("bucket").agg(F.min("edge_text").alias("edge_text"))).withColumnRenamed("bucket", "edge")
     after = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("th"))
-    led = rows.withColumn("led", F.lead(F.struct("text")).over(after)).join(F.broadcast(edges), "bucket")
+    led = rows.withColumn("led", F.lead(F.struct("text")).over(after)).join(edges, (F.col("bucket") == F.col("edge")) & F.col("led").isNull(), "left")
     return led.select("doc_id", "text", F.when(F.col("led").isNull(), F.col("edge_text")).otherwise(F.col("led.text")).alias("next_text"))
 
 

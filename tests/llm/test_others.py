@@ -236,6 +236,29 @@ def test_fingerprints(spark):
     assert got[50].fingerprint == got[51].fingerprint and got[51].near_next == 1.0
 
 
+def test_next_documents_over_uneven_ids(spark):
+    """Ids far apart and close together, one of them many times; ranges of a few rows."""
+    rng = random.Random(6)
+    ids = [*range(40), *(rng.randrange(-(1 << 62), 1 << 62) for _ in range(30)), *[7] * 20, None, None]
+    docs = [(i, f"text {k}") for k, i in enumerate(ids)]
+    hashes = {r.t: r.h for r in spark.createDataFrame(docs, "i long, t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]), reverse=True)
+    expected = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.text: r.next_text for r in fingerprint.with_next(rows, bucket_rows=4).collect()} == expected
+    some = fingerprint.bucket_of(F.col("doc_id"), [-5, 0, 3, 3, 9, 100, 1 << 40])
+    got = spark.createDataFrame([(x,) for x in (-6, -5, 2, 3, 99, 100, 1 << 41, None)], "doc_id long").select(some).collect()
+    assert [r[0] for r in got] == [0, 1, 2, 4, 5, 6, 7, -1]
+
+
+def test_sketches_that_do_not_peel(spark, monkeypatch):
+    """The smallest sketch alone holds no such difference: the digests are compared."""
+    monkeypatch.setattr(fingerprint, "LEVELS", 1)
+    docs = [(k, "\n".join(f"{k} line {i} of the text" for i in range(200)) + "\nshared by all the texts") for k in range(3)]
+    for r in fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert 0 < r.near_next < 0.01 and 0.6 < r.near_edited < 0.7
+
+
 HTML = [
     ("Hi <b>there</b>, you<p>One<p>Two &amp; three", "Hi there, you\n\nOne\n\nTwo & three"),
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
