@@ -6,7 +6,8 @@ prefix one bit shorter do not: only an oversized bucket splits, on its next bit.
 shard even if that row alone is over the limit.
 
 The byte totals of all prefixes come from one aggregation over a histogram of cells a few bits deeper than the
-mean shard; buckets that are still oversized there go on alone with more bits. Documents' texts do not move.
+mean shard. The directory has an entry a cell, and each document finds its shard there by its own bits; cells that
+are still oversized go on alone with more bits. Documents' texts do not move.
 
 Null and empty texts have 0 bytes; null ids are sharded like one id. Repeated rows each count. An empty table
 has no shards. Columns asked for in `carry` pass through under their names.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, staged, text_or_empty
 
 BITS = 123
+#: Of a broadcast directory, counted without the bits themselves, which take some times as much.
+CELLS_BYTES = 4 << 20
 
 
 def _bits():
@@ -41,14 +44,17 @@ def keyed(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def split_round(rows: DataFrame, depth: int, limit: int, base: int) -> tuple[DataFrame, DataFrame]:
-    """The directory entries between the base depth and depth, and the cells at depth that are to split further."""
-    cells = rows.groupBy(F.substring(_bits(), 1, depth).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r"))
-    nodes = cells.select(F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth"), "cell", "b", "r").groupBy(F.expr("substring(cell, 1, depth)").alias("node"), "depth").agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
-    nodes = cut(nodes.withColumn("fits", (F.col("b") <= limit) | (F.col("r") == 1)))
-    parents = nodes.filter(~F.col("fits")).select(F.col("node").alias("parent"), F.col("depth").alias("parent_depth"))
-    child = (F.expr("substring(node, 1, depth - 1)") == F.col("parent")) & (F.col("depth") - 1 == F.col("parent_depth"))
-    leaves = nodes.filter("fits").join(parents, child, "left").filter((F.col("depth") == (0 if base == 0 else -1)) | F.col("parent").isNotNull())
-    return leaves.select(F.col("node").alias("shard"), F.col("depth").alias("shard_depth"), F.col("b").alias("shard_bytes"), F.col("r").alias("shard_docs")), nodes.filter(~F.col("fits") & (F.col("depth") == depth)).select(F.col("node").alias("open_cell"))
+    """The directory: each cell of `depth` bits with the shard that holds it, if one of base bits or more does; and the
+    cells that are to split further."""
+    cells = cut(rows.groupBy(F.substring(_bits(), 1, depth).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r")))
+    above = cells.select("cell", "b", "r", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth")).withColumn("node", F.expr("substring(cell, 1, depth)"))
+    nodes = above.groupBy("node", "depth").agg(F.sum("b").alias("shard_bytes"), F.count("*").alias("n_cells"), F.sum("r").alias("shard_docs"))
+    fits = cut(nodes.filter((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)).drop("n_cells"))
+    # a cell's shard is the shortest of its prefixes that fits: only oversized buckets have split
+    found = above.select("cell", "node", "depth").join(fits, ["node", "depth"])
+    shard = F.min(F.struct("depth", "node", "shard_bytes", "shard_docs")).alias("s")
+    directory = cut(found.groupBy("cell").agg(shard).select("cell", F.col("s.node").alias("shard"), F.col("s.depth").alias("shard_depth"), "s.shard_bytes", "s.shard_docs"))
+    return directory, cells.join(directory, "cell", "left_anti").select("cell")
 
 
 def shards(df: DataFrame, limit: int, carry: tuple[str, ...] = (), extra_bits: int = 4) -> DataFrame:
@@ -60,26 +66,16 @@ def shards(df: DataFrame, limit: int, carry: tuple[str, ...] = (), extra_bits: i
     base, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + extra_bits)
     done = []
     while True:
-        leaves, unsplit = split_round(rows, depth, limit, base)
-        leaves = cut(leaves)
-        # each leaf's cells at this depth, so that rows can find it by an equality
-        cell = F.substring(_bits(), 1, depth)
-        keyed_rows = rows.withColumn("cell", cell)
-        per_depth = [d[0] for d in leaves.select("shard_depth").distinct().collect()]  # at most as many as bits
-        for d in sorted(per_depth):
-            part = leaves.filter(F.col("shard_depth") == d)
-            done.append(keyed_rows.withColumn("prefix", F.substring("cell", 1, d)).join(broadcast_if_small(part), F.col("prefix") == F.col("shard")).drop("prefix", "cell"))
+        directory, unsplit = split_round(rows, depth, limit, base)
+        indexed = rows.withColumn("cell", F.substring(_bits(), 1, depth))
+        done.append(indexed.join(broadcast_if_small(directory, most=CELLS_BYTES), "cell"))
         unsplit = cut(unsplit)
-        n_open = unsplit.count()
-        if not n_open or depth == BITS:
-            if n_open:
-                raise ValueError("two rows share all bits")
+        if unsplit.isEmpty():
             break
-        rows = staged(rows.join(broadcast_if_small(unsplit), cell == F.col("open_cell"), "left_semi"))
+        if depth == BITS:
+            raise ValueError("two rows share all bits")
+        rows = staged(indexed.join(broadcast_if_small(unsplit, most=CELLS_BYTES), "cell", "left_semi").drop("cell"))
         base, depth = depth, min(BITS, depth + 8)
-    if not done:
-        leaves, _ = split_round(rows, depth, limit, base)
-        done.append(rows.join(leaves, F.lit(False)))
     out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)])
 
