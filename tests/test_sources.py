@@ -1,4 +1,6 @@
 import json
+import math
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -63,26 +65,80 @@ def test_cache_lookup(spark):
     assert [r[0] for r in C.neighbours(entries, 0.9).collect()] == [11]
 
 
+def brute_pairs(keys, threshold):
+    """(earlier, later, cosine) of all pairs of (id, key) at or above the threshold."""
+    norm = {i: math.sqrt(sum(w * w for w in k.values())) for i, k in keys}
+    out = []
+    for n, (i, a) in enumerate(keys):
+        for j, b in keys[n + 1 :]:
+            d = norm[i] * norm[j]
+            cosine = round(sum(w * b.get(t, 0.0) for t, w in a.items()) / d, 9) if d else 0.0
+            if cosine >= threshold:
+                out.append((i, j, cosine))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_cache_against_brute_force(spark, threshold):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 6))) + "." for _ in range(25)] + ["?!", ""]
+    rows = C.keys(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("id", F.col("doc_id") * 100 + F.col("i"))
+    keys = sorted((r.id, r.key) for r in rows.collect())
+    pairs = brute_pairs(keys, threshold)
+    entries = rows.select(F.col("id").alias("entry_id"), "key")
+    assert sorted(r[0] for r in C.neighbours(entries, threshold).collect()) == sorted({j for _, j, _ in pairs})
+    best = {}
+    for i, j, c in [(x, y, c) for i, j, c in pairs for x, y in ((i, j), (j, i))] + [(i, i, 1.0) for i, k in keys if any(k.values())]:
+        best[i] = min(best.get(i, (0, 0)), (-c, j))
+    got = {r.query_id: (-r.similarity, r.entry_id) for r in C.lookup(rows.select(F.col("id").alias("query_id"), "key"), entries, threshold).collect()}
+    assert got == best
+
+
 def test_cache_modes(spark, tmp_path):
-    calls = []
+    asked = spark.sparkContext.accumulator(0)
 
-    def provider(rows):
-        calls.append(rows.count())
-        return rows.withColumn("embedding", F.array(F.length("sentence").cast("double")))
+    def answer(batches):
+        for batch in batches:
+            asked.add(len(batch))
+            yield batch.assign(embedding=[[float(len(s))] for s in batch["sentence"]])
 
+    provider = lambda rows: rows.mapInPandas(answer, rows.withColumn("embedding", F.array(F.lit(1.0))).schema)
     rows = C.keys(spark.createDataFrame(DOCS, "doc_id long, text string")).cache()
-    force = SegmentOptions(5, embedding_cache_mode="force", embedding_cache=C.SemanticCache(spark, str(tmp_path / "a")))
-    assert C.cached_embeddings(rows, provider, force).count() == 4 and calls == [4]
+    path = str(tmp_path / "a")
+    force = SegmentOptions(5, embedding_cache_mode="force", embedding_cache=C.SemanticCache(spark, path))
+    assert C.cached_embeddings(rows, provider, force).count() == 4 and asked.value == 4  # once a sentence
     again = C.cached_embeddings(rows, provider, force)
-    assert again.count() == 4 and calls == [4, 0]
-    assert {(r.doc_id, r.i): r.embedding for r in again.collect()}[1, 0] == [23.0]
+    assert {(r.doc_id, r.i): r.embedding for r in again.collect()}[1, 0] == [23.0] and asked.value == 4
+    reopened = C.SemanticCache(spark, path)
+    assert reopened.rows == 4 and reopened.analyze_similarity() == 1 and reopened.entries().select("entry_id").distinct().count() == 4
+    force.embedding_cache.close()
+    with pytest.raises(ValueError, match="closed"):
+        C.cached_embeddings(rows, provider, force)
     adaptive = SegmentOptions(5, embedding_cache_mode="adaptive", embedding_cache=C.AdaptiveCache(spark, str(tmp_path / "b")), adaptive_cache_activation_threshold=1)
-    assert C.cached_embeddings(rows, provider, adaptive).count() == 4 and calls[-1] == 4
-    assert adaptive.embedding_cache.is_activated()
+    assert C.cached_embeddings(rows, provider, adaptive).count() == 4 and asked.value == 8
+    assert not adaptive.embedding_cache.state.get("activated") and adaptive.embedding_cache.is_activated()
     C.cached_embeddings(rows, provider, adaptive).count()
-    assert calls[-1] == 0
+    assert asked.value == 8 and C.AdaptiveCache(spark, str(tmp_path / "b")).state["activated"]
     with pytest.raises(ValueError, match="AdaptiveCache"):
-        C.cached_embeddings(rows, provider, SegmentOptions(5, embedding_cache_mode="adaptive", embedding_cache=force.embedding_cache))
+        C.cached_embeddings(rows, provider, SegmentOptions(5, embedding_cache_mode="adaptive", embedding_cache=C.SemanticCache(spark, path)))
+
+
+def test_cache_flush_compaction_and_repeats(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "FLUSH_ROWS", 4)
+    cache, written = C.SemanticCache(spark, str(tmp_path)), []
+    for k in range(14):
+        rows = C.keys(spark.createDataFrame([(k, f"Sentence number {k * 1111} is here. And {'x' * (k + 3)} too.")], "doc_id long, text string")).withColumn("embedding", F.array(F.lit(float(k))))
+        written.append(cache.set(rows, 0.9, f"batch-{k}"))
+        cache.set(rows, 0.9, f"batch-{k}")  # once more: nothing is added
+        assert cache.rows == 2 * k + 2 and cache.entries().select("entry_id").distinct().count() == cache.rows
+    flushed = [s for s in cache.state["segments"] if s["flushed"]]
+    assert 1 < len(flushed) <= C.COMPACT_ABOVE and len(cache.state["segments"]) < 8
+    assert all(w.count() == 2 for w in written)  # rows that were returned can still be read
+    queries = C.keys(spark.createDataFrame([(0, "Sentence number 0 is here. And xxx too.")], "doc_id long, text string")).select(F.col("i").alias("query_id"), "key")
+    assert {tuple(r.embedding) for r in cache.find(queries, 0.99).collect()} == {(0.0,)}
+    cache.close()
+    assert C.SemanticCache(spark, str(tmp_path)).rows == 28 and len([p for p in tmp_path.iterdir() if p.is_dir()]) == len(cache.state["segments"])
 
 
 def test_streams(spark, tmp_path):
@@ -101,3 +157,12 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(r.num_tokens for r in seen) == 14
+    once = len(seen)
+    batch(docs, 0)  # a repeated micro-batch
+    assert options.embedding_cache.rows == 4 and len(seen) == 2 * once
+
+
+def test_dense_batches_normalize(spark):
+    docs, out = spark.createDataFrame([(1, "He is in the U.S.A. now. Fine etc.....")], "doc_id long, text string"), []
+    dense_batches(SegmentOptions(50), lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0))), lambda chunks, n: out.extend(chunks.collect()))(docs, 0)
+    assert [r.text for r in out] == [r.text for r in segment(docs, SegmentOptions(50)).collect()] and "USA. now" in out[0].text
