@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from .functions import vectors as V
 from .functions.arrays import let
 from .operators import cache
 from .operators.segment import boundaries, early_language, late_language, prepared, rows_of, scores_column, segment, segment_dense, sentence_rows, stats
-from .plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
+from .plans.options import ADAPTIVE, FIRST_TEN, FORCE, FULL_TEXT, PER_SENTENCE, SegmentOptions
 from .plans.spread import spread
 from .sources.embeddings import embed_from_table
 from .sources.service import respond
@@ -73,7 +76,7 @@ def token_counts(spark, sf_dir):
 
 
 def char_ngrams(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.char_ngrams(F.col("text"), 3, 5), " ").alias("ngrams"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(X.char_ngrams(F.col("text"), 3, 5), " ").alias("ngrams"))
 
 
 def script_candidates(spark, sf_dir):
@@ -164,48 +167,80 @@ def segment_stats(spark, sf_dir):
 
 def segment_dense_table(spark, sf_dir):
     """The dense path with vectors from a table, joined by a number made of document and sentence."""
-    o = SegmentOptions(64)
-    rows = sentence_rows(documents(spark, sf_dir), o).withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("i"), F.lit(500)))
-    return counted(segment_dense(embed_from_table(rows, table(spark, sf_dir, "embeddings"), "vec_id"), o))
+    o, vectors = SegmentOptions(64), table(spark, sf_dir, "embeddings")
+    rows = sentence_rows(documents(spark, sf_dir), o).withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("i"), F.lit(max(1, vectors.count()))))
+    return counted(segment_dense(embed_from_table(rows, vectors, "vec_id"), o))
 
 
 DENSE_SCORES = """
   vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-  scores AS MATERIALIZED (SELECT s.doc_id, s.i, coalesce(list_cosine_similarity(a.e, b.e), 0.0) AS score FROM st s JOIN st n ON n.doc_id = s.doc_id AND n.i = s.i + 1
-    LEFT JOIN vec a ON a.vec_id = (s.doc_id * 31 + s.i) % 500 LEFT JOIN vec b ON b.vec_id = (n.doc_id * 31 + n.i) % 500)"""
+  many AS (SELECT greatest(1, count(*)) AS m FROM embeddings),
+  scores AS MATERIALIZED (SELECT s.doc_id, s.i, coalesce(list_cosine_similarity(a.e, b.e), 0.0) AS score FROM many, st s JOIN st n ON n.doc_id = s.doc_id AND n.i = s.i + 1
+    LEFT JOIN vec a ON a.vec_id = (s.doc_id * 31 + s.i) % m LEFT JOIN vec b ON b.vec_id = (n.doc_id * 31 + n.i) % m)"""
+
+
+def top_k_terms(spark, sf_dir):
+    return cache.keys(documents(spark, sf_dir)).select("doc_id", "i", F.array_join(V.top_terms(F.col("key"), cache.TOP_K), " ").alias("terms"))
 
 
 def _item_keys(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return cache.keys(items)
+    """Keys of the benchmark's sentences; doc_id says where a text is from."""
+    return cache.keys(spread(table(spark, sf_dir, "benchmark")).select(F.concat(F.lit("item:"), "item_id").alias("doc_id"), "text"))
 
 
-def top_k_terms(spark, sf_dir):
-    return _item_keys(spark, sf_dir).select("doc_id", "i", F.array_join(V.top_terms(F.col("key"), cache.TOP_K), " ").alias("terms"))
+def _turn_keys(spark, sf_dir):
+    doc = F.concat(F.lit("turn:"), F.col("conv_id"), F.lit(":"), F.col("turn"))
+    return cache.keys(spread(table(spark, sf_dir, "conversations")).select(doc.alias("doc_id"), "text"))
 
 
-def _entries(spark, sf_dir):
-    return _item_keys(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("i")).alias("entry_id"), "key")
+def _with_id(keys, name):
+    return keys.select(F.concat("doc_id", F.lit(":"), F.lpad(F.col("i").cast("string"), 6, "0")).alias(name), "key")
 
 
 def cache_lookup(spark, sf_dir):
     """Sentences of conversations and of the benchmark in a cache of the benchmark's sentences."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn") + 1_000_000).alias("doc_id"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    queries = cache.keys(turns.unionByName(items)).select((F.col("doc_id") * 1000 + F.col("i")).alias("query_id"), "key")
-    found = cache.lookup(queries, _entries(spark, sf_dir), 0.9)
+    items = _item_keys(spark, sf_dir)
+    found = cache.lookup(_with_id(_turn_keys(spark, sf_dir).unionByName(items), "query_id"), _with_id(items, "entry_id"), 0.9)
     return found.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
 
 
 def cache_neighbours(spark, sf_dir):
-    return cache.neighbours(_entries(spark, sf_dir), 0.3)
+    return cache.neighbours(_with_id(_item_keys(spark, sf_dir).unionByName(_turn_keys(spark, sf_dir)), "entry_id"), 0.9)
+
+
+def _folder(spark) -> str:
+    """A folder that executors reach: the one set for checkpoints, or where none is set, as in tests, a temporary one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/cache-{uuid.uuid4().hex}"
+
+
+def _named_vectors(rows):
+    """A provider whose vectors say which sentence they are of."""
+    parts = F.split(F.concat_ws(":", "doc_id", F.col("i").cast("string")), ":")
+    return rows.orderBy("doc_id", "i").withColumn("embedding", F.transform(F.slice(parts, 2, 3), lambda p: p.cast("double")))
+
+
+def _embedded(spark, sf_dir, cached, **options):
+    """Embeds the benchmark's sentences, then those of conversations, through one cache: whose vector each got."""
+    o = SegmentOptions(64, embedding_cache=cached, **options)
+    cache.cached_embeddings(_item_keys(spark, sf_dir), _named_vectors, o)
+    rows = cache.cached_embeddings(_turn_keys(spark, sf_dir), _named_vectors, o)
+    return rows.select("doc_id", "i", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ":").alias("vector_of"))
+
+
+def cache_force(spark, sf_dir):
+    return _embedded(spark, sf_dir, cache.SemanticCache(spark, _folder(spark)), embedding_cache_mode=FORCE, cache_similarity_threshold=0.9)
+
+
+def cache_adaptive(spark, sf_dir):
+    """The cache serves the second batch if a sentence of the first has a neighbour before it."""
+    return _embedded(spark, sf_dir, cache.AdaptiveCache(spark, _folder(spark)), embedding_cache_mode=ADAPTIVE, cache_similarity_threshold=0.7, adaptive_cache_activation_threshold=1)
 
 
 def service_responses(spark, sf_dir):
-    body = F.to_json(F.struct(F.col("text").alias("text"), (F.pmod(F.col("item_id"), F.lit(3)) * 20).cast("int").alias("max_tokens")))
-    answers = respond(table(spark, sf_dir, "benchmark").select("item_id", body.alias("body")))
+    body = F.to_json(F.struct(F.col("text").alias("text"), (F.pmod(F.col("doc_id"), F.lit(3)) * 20).cast("int").alias("max_tokens")))
+    answers = respond(documents(spark, sf_dir).select("doc_id", body.alias("body")))
     parsed = F.from_json("response", "stats struct<total_chunks:int,total_tokens:int>, error string")
-    return answers.select("item_id", "status", parsed.alias("r")).select("item_id", "status", F.col("r.stats.total_chunks").alias("total_chunks"), F.col("r.stats.total_tokens").alias("total_tokens"), F.col("r.error").alias("error"))
+    return answers.select("doc_id", "status", parsed.alias("r")).select("doc_id", "status", F.col("r.stats.total_chunks").alias("total_chunks"), F.col("r.stats.total_tokens").alias("total_tokens"), F.col("r.error").alias("error"))
 
 
 def _keys_sql(source: str) -> str:
@@ -214,25 +249,34 @@ def _keys_sql(source: str) -> str:
     return f"{sql.parts(source, o)}, {sql.WEIGHTS}"
 
 
-ITEMS_SQL = "SELECT item_id AS doc_id, coalesce(text, '') AS text FROM benchmark"
-TURNS_SQL = "SELECT conv_id * 100 + turn + 1000000 AS doc_id, coalesce(text, '') AS text FROM conversations"
+ITEMS_SQL = "SELECT 'item:' || item_id AS doc_id, coalesce(text, '') AS text FROM benchmark"
+TURNS_SQL = "SELECT 'turn:' || conv_id || ':' || turn AS doc_id, coalesce(text, '') AS text FROM conversations"
 CONV_SQL = "SELECT conv_id AS doc_id, array_to_string(list(coalesce(text, '') ORDER BY turn, text), ' ') AS text FROM conversations GROUP BY conv_id"
-PAIR_SQL = """ids AS MATERIALIZED (SELECT doc_id * 1000 + i AS id, term, w FROM w),
+PAIR_SQL = """ids AS MATERIALIZED (SELECT doc_id || ':' || lpad(i::VARCHAR, 6, '0') AS id, doc_id LIKE 'item%' AS item, term, w FROM w),
   nrm AS MATERIALIZED (SELECT id, sqrt(sum(w * w)) AS norm FROM ids GROUP BY ALL),
-  ent AS MATERIALIZED (SELECT * FROM ids WHERE id < 1000000000),
-  sim AS MATERIALIZED (SELECT a.id AS q, b.id AS e, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 9) AS s FROM ids a JOIN ent b ON a.term = b.term JOIN nrm x ON x.id = a.id JOIN nrm y ON y.id = b.id GROUP BY a.id, b.id)"""
+  sim AS MATERIALIZED (SELECT a.id AS q, b.id AS e, a.item AS q_item, b.item AS e_item, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 9) AS s FROM ids a JOIN ids b ON a.term = b.term JOIN nrm x ON x.id = a.id JOIN nrm y ON y.id = b.id GROUP BY ALL)"""
+
+
+def cached_sql(threshold: float, activation: int) -> str:
+    """Whose vector each sentence of the conversations gets, if so many of the benchmark's have a neighbour."""
+    numbers = lambda x: f"regexp_replace(regexp_replace({x}, '^[a-z]*:', ''), ':0*([0-9]+)$', ':\\1')"
+    return f"""WITH {_keys_sql(f'{TURNS_SQL} UNION ALL {ITEMS_SQL}')}, {PAIR_SQL},
+      near AS (SELECT count(DISTINCT q) AS n FROM sim WHERE q_item AND e_item AND s >= {threshold} AND e < q),
+      best AS (SELECT q, e FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, e) AS r FROM sim WHERE e_item AND s >= {threshold}) WHERE r = 1),
+      asked AS (SELECT doc_id, i, doc_id || ':' || lpad(i::VARCHAR, 6, '0') AS id FROM st WHERE doc_id LIKE 'turn%')
+      SELECT asked.doc_id, asked.i, {numbers('CASE WHEN n >= ' + str(activation) + ' THEN coalesce(e, id) ELSE id END')} AS vector_of FROM asked LEFT JOIN best ON q = id, near"""
 
 
 def service_sql() -> str:
-    parts = ["SELECT item_id, 400 AS status, NULL::INT AS total_chunks, NULL::INT AS total_tokens, 'max_tokens must be > 0' AS error FROM benchmark WHERE item_id % 3 = 0"]
+    parts = ["SELECT doc_id, 400 AS status, NULL::INT AS total_chunks, NULL::INT AS total_tokens, 'max_tokens must be > 0' AS error FROM documents WHERE doc_id % 3 = 0"]
     for k in (1, 2):
-        inner = sql.segmented(f"SELECT item_id AS doc_id, coalesce(text, '') AS text FROM benchmark WHERE item_id % 3 = {k}", SegmentOptions(20 * k))
-        parts.append(f"SELECT doc_id AS item_id, 200 AS status, count(*)::INT AS total_chunks, sum(num_tokens)::INT AS total_tokens, NULL AS error FROM ({inner}) GROUP BY doc_id")
+        inner = sql.segmented(f"SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 3 = {k}", SegmentOptions(20 * k))
+        parts.append(f"SELECT d.doc_id, 200 AS status, count(c.doc_id)::INT AS total_chunks, coalesce(sum(num_tokens), 0)::INT AS total_tokens, NULL AS error FROM documents d LEFT JOIN ({inner}) c ON c.doc_id = d.doc_id WHERE d.doc_id % 3 = {k} GROUP BY d.doc_id")
     return " UNION ALL ".join(parts)
 
 
 def queries() -> dict:
-    plain = (normalize_abbreviations, normalize_with_contractions, split_sentences, tokenize, token_counts, char_ngrams, script_candidates, remove_stopwords, stem_tokens, document_frequency, sentence_tfidf, dense_cosine_adjacent, segment_conversations, segment_stats, segment_dense_table, top_k_terms, cache_lookup, cache_neighbours, service_responses)
+    plain = (normalize_abbreviations, normalize_with_contractions, split_sentences, tokenize, token_counts, char_ngrams, script_candidates, remove_stopwords, stem_tokens, document_frequency, sentence_tfidf, dense_cosine_adjacent, segment_conversations, segment_stats, segment_dense_table, top_k_terms, cache_lookup, cache_neighbours, cache_force, cache_adaptive, service_responses)
     found = {f.__name__: f for f in plain}
     found |= {name: detect(o) for name, o in DETECT.items()}
     found |= {name: segments(o) for name, o in SEGMENTS.items()}
@@ -249,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
         "split_sentences": f"SELECT doc_id, unnest(range(0, len(s))) AS i, unnest(s) AS sentence FROM (SELECT doc_id, {sql.sentences('text')} AS s FROM ({DOCS_SQL}))",
         "tokenize": f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens FROM ({DOCS_SQL})",
         "token_counts": f"SELECT doc_id, len(s) AS n_sentences, array_to_string(list_transform(s, lambda y: len({sql.tokens('y')})), ' ') AS counts FROM (SELECT doc_id, {sql.sentences('text')} AS s FROM ({DOCS_SQL}))",
-        "char_ngrams": f"SELECT item_id, array_to_string({sql.ngrams('text', 3, 5)}, ' ') AS ngrams FROM benchmark",
+        "char_ngrams": f"SELECT doc_id, array_to_string({sql.ngrams('text', 3, 5)}, ' ') AS ngrams FROM ({DOCS_SQL})",
         "script_candidates": f"SELECT doc_id, {sql.script('text')} AS script FROM ({DOCS_SQL})",
         "remove_stopwords": f"""SELECT d.doc_id, CASE WHEN d.lang = 'unknown' THEN d.text ELSE coalesce(k.kept, '') END AS kept FROM (SELECT doc_id, coalesce(text, '') AS text, {LANG_SQL} AS lang FROM documents) d LEFT JOIN (
             SELECT doc_id, array_to_string(list(w ORDER BY k), ' ') AS kept FROM (SELECT doc_id, lang, unnest(range(0, len(t))) AS k, unnest(t) AS w FROM (SELECT doc_id, {LANG_SQL} AS lang, {sql.tokens("coalesce(text, '')")} AS t FROM documents)) x
@@ -262,9 +306,11 @@ def oracle_sql() -> dict[str, str]:
         "segment_conversations": sql.segmented(CONV_SQL, SEGMENTS["segment_default"]),
         "segment_stats": f"SELECT count(*) AS total_chunks, coalesce(sum(num_tokens), 0)::BIGINT AS total_tokens FROM ({sql.segmented(DOCS_SQL, SEGMENTS['segment_default'])})",
         "segment_dense_table": sql.segmented(DOCS_SQL, RAW, DENSE_SCORES),
-        "top_k_terms": f"WITH {_keys_sql(ITEMS_SQL)} SELECT st.doc_id, st.i, coalesce(terms, '') AS terms FROM st LEFT JOIN (SELECT doc_id, i, array_to_string(list(term ORDER BY r), ' ') AS terms FROM (SELECT doc_id, i, term, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(w, 12) DESC, term) AS r FROM w) WHERE r <= {cache.TOP_K} GROUP BY doc_id, i) t ON t.doc_id = st.doc_id AND t.i = st.i",
-        "cache_lookup": f"WITH {_keys_sql(f'{TURNS_SQL} UNION ALL {ITEMS_SQL}')}, {PAIR_SQL} SELECT q AS query_id, e AS entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, e) AS r FROM sim WHERE s >= 0.9) WHERE r = 1",
-        "cache_neighbours": f"WITH {_keys_sql(ITEMS_SQL)}, {PAIR_SQL} SELECT DISTINCT q AS entry_id FROM sim WHERE e < q AND s >= 0.3",
+        "top_k_terms": f"WITH {_keys_sql(DOCS_SQL)} SELECT st.doc_id, st.i, coalesce(terms, '') AS terms FROM st LEFT JOIN (SELECT doc_id, i, array_to_string(list(term ORDER BY r), ' ') AS terms FROM (SELECT doc_id, i, term, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(w, 12) DESC, term) AS r FROM w) WHERE r <= {cache.TOP_K} GROUP BY doc_id, i) t ON t.doc_id = st.doc_id AND t.i = st.i",
+        "cache_lookup": f"WITH {_keys_sql(f'{TURNS_SQL} UNION ALL {ITEMS_SQL}')}, {PAIR_SQL} SELECT q AS query_id, e AS entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, e) AS r FROM sim WHERE e_item AND s >= 0.9) WHERE r = 1",
+        "cache_neighbours": f"WITH {_keys_sql(f'{TURNS_SQL} UNION ALL {ITEMS_SQL}')}, {PAIR_SQL} SELECT DISTINCT q AS entry_id FROM sim WHERE e < q AND s >= 0.9",
+        "cache_force": cached_sql(0.9, 0),
+        "cache_adaptive": cached_sql(0.7, 1),
         "service_responses": service_sql(),
     }
     out |= {name: detect_sql(o) for name, o in DETECT.items()}
