@@ -34,7 +34,7 @@ NOT_PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]")
 # fixed values: contractions of two letters
 LONG_CONTRACTIONS = {"'re", "'ve", "'ll"}
 #: Entries of a cache before it starts anew; bounds a worker's memory.
-CACHE = 300_000
+CACHE = 450_000
 LONGEST_CACHED = 64
 
 
@@ -61,15 +61,18 @@ def _total(deltas: bytes) -> int:
 
 
 class _Cache(dict):
-    """unit -> value, computed on a miss."""
+    """unit -> value, computed on a miss. When it is full, what was asked for since it was last full stays at hand."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.before = compute, {}
 
     def __missing__(self, unit):
-        value = self.compute(unit)
+        value = self.before.get(unit)
+        if value is None:
+            value = self.compute(unit)
         if len(unit) <= LONGEST_CACHED:
             if len(self) >= CACHE:
+                self.before = dict(self)
                 self.clear()
             self[unit] = value
         return value
@@ -95,8 +98,7 @@ class Vocabulary:
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         self.ids = _Cache(self._ids)
         self.deltas = _Cache(self._deltas)
-        self.tables = _Cache(self._piece_deltas)
-        self.prefixes: dict[str, tuple[int, str | None, int]] = {"": (0, None, 0)}
+        self.prefixes: dict[str, tuple[int, str | None, int, bytes]] = {"": (0, None, 0, b"")}
         self.pairs: dict[tuple[str | None, str], bool] = {}
 
     def _ranked(self, path: str):
@@ -143,59 +145,82 @@ class Vocabulary:
             found = self.pairs[key] = values == ([token] if last is None else [last, token])
         return found
 
-    def _count(self, piece: str) -> list[int]:
-        """Token counts of the prefixes of one pre-token (one character a byte), by dynamic programming.
+    def _grown(self, piece: str) -> bytes:
+        """By how much the token count of a pre-token (one character a byte) grows with each byte, by dynamic programming.
 
         A sequence of tokens is what BPE makes of its bytes if and only if each two neighbours are what BPE
         makes of theirs. So the last token of a prefix is the one that may follow the last token of the
-        prefix before it, and the count is one more than there. Prefixes are kept, as words share them.
+        prefix before it, and the count is one more than there. Prefixes are kept, each after all its own,
+        as words share them.
         """
-        known, keep = self.prefixes, len(piece) <= LONGEST_CACHED
-        if not keep:
-            known = {"": (0, None, 0)}
-        elif len(known) >= 3 * CACHE:
+        n = len(piece)
+        if n > LONGEST_CACHED:
+            return self._long(piece)
+        known, vocab, pairs = self.prefixes, self.vocab, self.pairs
+        found = known.get(piece)
+        if found is not None:
+            return found[3]
+        if len(known) >= 3 * CACHE:
             known.clear()
-            known[""] = (0, None, 0)
-        counts = []
-        start = 0  # where the last token of the prefix begins
+            known[""] = (0, None, 0, b"")
+        low, high = 0, n - 1  # the longest prefix known
+        while low < high:
+            middle = (low + high + 1) // 2
+            if piece[:middle] in known:
+                low = middle
+            else:
+                high = middle - 1
+        last, _, start, grown = known[piece[:low]]
+        for j in range(low + 1, n + 1):
+            # mostly the last token grows or a new one begins; else any other token may be the last
+            for i in itertools.chain((start, j - 1), range(max(0, j - self.widest), j - 1)):
+                token = piece[i:j]
+                if token in vocab:
+                    count, before = known[piece[:i]][:2]
+                    stands = pairs.get((before, token)) if i == 0 or before is not None else False
+                    if stands or (stands is None and self._stands(before, token)):
+                        break
+            else:
+                raise ValueError(f"no encoding of {piece!r}")
+            grown += bytes([count + 1 - last & 0xFF])
+            last, start = count + 1, i
+            known[piece[:j]] = (last, token, i, grown)
+        return grown
+
+    def _long(self, piece: str) -> bytes:
+        """_grown of a piece whose prefixes aren't kept beyond the reach of a token."""
+        known: dict[int, tuple[int, str | None]] = {0: (0, None)}
+        grown, last, start = bytearray(), 0, 0
         for j in range(1, len(piece) + 1):
-            prefix = piece[:j] if keep else j
-            found = known.get(prefix)
-            if found is None:
-                # mostly the last token grows or a new one begins; else any other token may be the last
-                for i in itertools.chain((start, j - 1), range(max(0, j - self.widest), j - 1)):
-                    token = piece[i:j]
-                    if token in self.vocab:
-                        count, before = known[(piece[:i] if keep else i) or ""][:2]
-                        if (i == 0 or before is not None) and self._stands(before, token):
-                            found = known[prefix] = (count + 1, token, i)
-                            break
-                else:
-                    raise ValueError(f"no encoding of {piece!r}")
-            counts.append(found[0])
-            start = found[2]
-            if not keep:  # no token reaches back further
-                known.pop(j - self.widest - 1, None)
-        return counts
+            for i in itertools.chain((start, j - 1), range(max(0, j - self.widest), j - 1)):
+                token = piece[i:j]
+                if token in self.vocab and i in known and (i == 0 or known[i][1] is not None) and self._stands(known[i][1], token):
+                    break
+            else:
+                raise ValueError(f"no encoding of {piece!r}")
+            grown.append(known[i][0] + 1 - last & 0xFF)
+            last, start = known[i][0] + 1, i
+            known[j] = (last, token)
+            known.pop(j - self.widest - 1, None)  # no token reaches back further
+        return bytes(grown)
 
     def _piece_deltas(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            counts = self._count(piece.replace(" ", self.letters[32]))
-        else:
-            raw = piece.encode()
-            counts = self._count(raw.decode("latin-1").translate(self.letters))
-            if len(raw) != len(piece):
-                ends, at = [], 0
-                for ch in piece:
-                    at += len(ch.encode())
-                    ends.append(counts[at - 1])
-                counts = ends
-        return bytes([b - a & 0xFF for a, b in zip([0, *counts], counts)])
+            return self._grown(piece.replace(" ", self.letters[32]))
+        raw = piece.encode()
+        grown = self._grown(raw.decode("latin-1").translate(self.letters))
+        if len(raw) == len(piece):
+            return grown
+        counts, ends, at = [0, *itertools.accumulate(map(_signed, grown))], [0], 0
+        for ch in piece:
+            at += 1 if ch < "\x80" else 2 if ch < "\u0800" else 3 if ch < "\U00010000" else 4
+            ends.append(counts[at])
+        return bytes([b - a & 0xFF for a, b in zip(ends, ends[1:])])
 
     def _deltas(self, unit: str) -> bytes:
         """For each code point of the unit, by how much the token count grows with it (signed bytes)."""
         if self._plain(unit) and (unit[0] not in WHITE or unit[1:2] not in WHITE) and "'" not in unit:
-            return b"".join(map(self.tables.__getitem__, PIECE.findall(unit)))
+            return b"".join(map(self._piece_deltas, PIECE.findall(unit)))
         out = []
         while any(a in unit for a in self.added):
             at, size = min((unit.find(a), -len(a)) for a in self.added if a in unit)
@@ -212,7 +237,7 @@ class Vocabulary:
         lead = re.match(f"[{WHITE}]*", unit).end()
         if lead > 1:
             # a run of white space is one piece while nothing follows; then its last character parts from the others
-            blanks = self.tables[unit[:lead]]
+            blanks = self._piece_deltas(unit[:lead])
             if lead == len(unit):
                 return blanks
             rest = self._ordinary(unit[lead - 1 :])
@@ -220,11 +245,11 @@ class Vocabulary:
             # count(blanks) at the lead's end, then count(blanks less one) and what the rest has up to each place
             return blanks + bytes([(shorter + own + _signed(rest[1]) - _total(blanks)) & 0xFF]) + rest[2:]
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)
-        return b"".join(self._contraction(unit[a:b]) if unit[a:b] in LONG_CONTRACTIONS else self.tables[unit[a:b]] for _, (a, b) in pieces)
+        return b"".join(self._contraction(unit[a:b]) if unit[a:b] in LONG_CONTRACTIONS else self._piece_deltas(unit[a:b]) for _, (a, b) in pieces)
 
     def _contraction(self, piece: str) -> bytes:
         """Cut after its first letter, it is an apostrophe and a letter: two pieces."""
-        return bytes([1, 1, (self._count(piece)[-1] - 2) & 0xFF])
+        return bytes([1, 1, (_total(self._grown(piece)) - 2) & 0xFF])
 
     def prefix_deltas(self, text: str) -> bytes:
         """deltas[p] is count(text[: p + 1]) - count(text[:p]) as a signed byte, for each code point."""
