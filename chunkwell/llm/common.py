@@ -17,12 +17,16 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one is set only where none is configured."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder that driver and executors share, from spark.checkpoint.dir. A temporary one is set only
+    where none is configured and the executors are threads of the driver, as in tests."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="chunkwell-"))
-        current = spark.sparkContext.getCheckpointDir()
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chunkwell-"))
+        current = context.getCheckpointDir()
     return current
 
 

@@ -41,7 +41,7 @@ BITS = 64
 #: Words of 64 bits in a fingerprint of `similar`.
 WIDE = 4
 #: Chance that some trie's top node holds both of two texts that are just similar enough.
-RECALL = 0.97
+RECALL = 0.99
 #: Keys of a group that one task compares.
 GROUP_KEYS = 16_384
 
