@@ -70,6 +70,10 @@ def boundaries(scores: Column, o: SegmentOptions) -> Column:
     return let(rounded, minimum)
 
 
+#: Starts of chunks that a fold adds to one by one, each time with a copy; full blocks are kept apart.
+STARTS_BLOCK = 256
+
+
 def chunk_starts(counts: Column, breaks: Column, max_tokens: int) -> Column:
     """Places (from 0) of the sentences with which chunks begin: a left fold, greedy under the budget."""
 
@@ -78,15 +82,18 @@ def chunk_starts(counts: Column, breaks: Column, max_tokens: int) -> Column:
         broken = F.coalesce(F.get(breaks, i - 1), F.lit(False))
         over = n > max_tokens
         fresh = over | (acc["held"] == 0) | broken | (acc["sum"] + n > max_tokens)
+        full = F.size(acc["starts"]) >= STARTS_BLOCK
         return F.struct(
-            F.when(fresh, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"]).alias("starts"),
+            F.when(fresh & full, F.concat(acc["blocks"], F.array(acc["starts"]))).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(fresh & full, F.array(i)).when(fresh, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"]).alias("starts"),
             F.when(over, 0).when(fresh, n).otherwise(acc["sum"] + n).alias("sum"),
             F.when(over, 0).when(fresh, 1).otherwise(acc["held"] + 1).alias("held"),
         )
 
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("sum"), F.lit(0).alias("held"))
-    places = F.when(F.size(counts) > 0, F.sequence(F.lit(0), F.size(counts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda acc: acc["starts"])
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.array().cast("array<array<int>>").alias("blocks"), none.alias("starts"), F.lit(0).alias("sum"), F.lit(0).alias("held"))
+    places = F.when(F.size(counts) > 0, F.sequence(F.lit(0), F.size(counts) - 1)).otherwise(none)
+    return F.aggregate(places, zero, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["starts"]))
 
 
 def chunks_of(sentences: Column, counts: Column, breaks: Column, max_tokens: int) -> Column:

@@ -1,19 +1,23 @@
 """JSON requests in, JSON responses out: segmentation as a transform of a column of request bodies.
 
-Requests with the same options are segmented by one plan; the sets of options in a batch are few and are collected,
-up to max_option_sets. A body that is larger than the limit, isn't JSON, or asks for no positive max_tokens gives
-an error and a status instead of chunks.
+Requests with the same options are segmented by one plan; the sets of options in a batch are counted. A request whose
+body is larger than the limit, isn't JSON, asks for no positive max_tokens or for options that don't go together gets
+an error and a status instead of chunks, and so do those with rarer options than max_option_sets plans hold: one
+request does not fail the others. With a provider, sentences are scored by embeddings, through the cache if a request
+asks for that; without one they are scored by TF-IDF, and the answer says that no cache was used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import total
-from ..operators.segment import segment_column
+from ..operators.cache import SemanticCache, cached_embeddings, keys
+from ..operators.segment import prepared, segment_column, segment_dense
 from ..plans.options import SegmentOptions
 
 MAX_BYTES = 1 << 20
@@ -22,11 +26,24 @@ FIELDS = {
     "language_detection_tokens": "int", "pre_normalize_abbreviations": "boolean", "enable_stop_word_removal": "boolean", "enable_stemming": "boolean",
     "tfidf_min_ngram_size": "int", "tfidf_max_ngram_size": "int", "embedding_cache_mode": "string", "cache_similarity_threshold": "double", "adaptive_cache_activation_threshold": "int",
 }
+CACHE_FIELDS = ("embedding_cache_mode", "cache_similarity_threshold", "adaptive_cache_activation_threshold")
 SCHEMA = "text string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", _bad string"
 
 
-def respond(requests: DataFrame, body: str = "body", max_option_sets: int = 256) -> DataFrame:
-    """The rows of requests with status (200 or 400, 413) and response (a JSON string)."""
+def _dense_chunks(rows: DataFrame, o: SegmentOptions, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with _chunks, as segment_column gives them, by embeddings of their sentences."""
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    sentences = prepared(F.col("_q.text"), o, lambda t, s, early: s)
+    keyed = keys(rows.select(F.col("_id").alias("doc_id"), "_q"), sentences)
+    chunks = segment_dense(cached_embeddings(keyed, provider, o), o)
+    listed = F.sort_array(F.collect_list(F.struct("chunk_index", "text", "sentences", "num_tokens")))
+    chunks = chunks.groupBy(F.col("doc_id").alias("_id")).agg(listed.alias("_found"))
+    none = F.array().cast("array<struct<chunk_index:int,text:string,sentences:array<string>,num_tokens:int>>")
+    return rows.join(chunks, "_id", "left").withColumn("_chunks", F.coalesce("_found", none)).drop("_id", "_found")
+
+
+def respond(requests: DataFrame, body: str = "body", max_option_sets: int = 256, provider: Callable[[DataFrame], DataFrame] | None = None, cache: SemanticCache | None = None) -> DataFrame:
+    """The rows of requests with status (200, 400, 413 or 500) and response (a JSON string)."""
     parsed = requests.withColumn("_q", F.from_json(F.col(body), SCHEMA, {"columnNameOfCorruptRecord": "_bad"}))
     size = F.octet_length(body)
     error = (
@@ -35,20 +52,33 @@ def respond(requests: DataFrame, body: str = "body", max_option_sets: int = 256)
         .when(F.coalesce(F.col("_q.max_tokens"), F.lit(0)) <= 0, F.lit("max_tokens must be > 0"))
     )
     parsed = parsed.withColumn("_error", error).withColumn("_set", F.when(F.col("_error").isNull(), F.struct(*[F.col(f"_q.{f}").alias(f) for f in FIELDS])))
-    sets = [r[0] for r in parsed.filter("_error is null").select("_set").distinct().limit(max_option_sets + 1).collect()]
-    if len(sets) > max_option_sets:
-        raise ValueError(f"more than {max_option_sets} sets of options in a batch")
-    bad = parsed.filter("_error is not null").select(*requests.columns, F.when(size > MAX_BYTES, 413).otherwise(400).alias("status"), F.to_json(F.struct(F.col("_error").alias("error"))).alias("response"))
-    good = []
+    counts = parsed.filter("_error is null").groupBy("_set").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.to_json("_set"))
+    sets = [r[0] for r in counts.limit(max_option_sets).collect()]
+
+    def failed(rows: DataFrame, status, message) -> DataFrame:
+        return rows.select(*requests.columns, status.alias("status"), F.to_json(F.struct(message.alias("error"))).alias("response"))
+
+    def same(chosen):
+        return reduce(lambda a, b: a & b, [F.col(f"_set.{f}").eqNullSafe(F.lit(chosen[f]).cast(t)) for f, t in FIELDS.items()])
+
+    out = [failed(parsed.filter("_error is not null"), F.when(size > MAX_BYTES, 413).otherwise(400), F.col("_error"))]
+    if len(sets) == max_option_sets:
+        planned = reduce(lambda a, b: a | b, map(same, sets))
+        out.append(failed(parsed.filter(F.col("_error").isNull() & ~planned), F.lit(500), F.lit(f"more than {max_option_sets} sets of options in a batch")))
     for chosen in sets:
         given = {k: v for k, v in chosen.asDict().items() if v is not None}
-        same = reduce(lambda a, b: a & b, [F.col(f"_set.{f}").eqNullSafe(F.lit(chosen[f]).cast(t)) for f, t in FIELDS.items()])
-        mode = given.pop("embedding_cache_mode", "")
-        o = SegmentOptions(**{k: v for k, v in given.items() if not k.startswith(("cache_", "adaptive_"))})
-        used = o.as_row() | {"embedding_cache_mode": mode or o.embedding_cache_mode}
-        rows = parsed.filter(F.col("_error").isNull() & same).withColumn("_chunks", segment_column(F.col("_q.text"), o))
+        rows = parsed.filter(F.col("_error").isNull() & same(chosen))
+        if provider is None:  # no embeddings, so none to keep
+            given = {k: v for k, v in given.items() if k not in CACHE_FIELDS}
+        try:
+            o = SegmentOptions(**given, embedding_cache=cache)
+        except ValueError as e:
+            out.append(failed(rows, F.lit(400), F.lit(str(e))))
+            continue
+        rows = rows.withColumn("_chunks", segment_column(F.col("_q.text"), o)) if provider is None else _dense_chunks(rows, o, provider)
+        used = o.as_row()
         echoed = F.struct(*[F.lit(used[f]).cast(t).alias(f) for f, t in FIELDS.items()]).alias("options_used")
         chunks = F.transform("_chunks", lambda c: F.struct(c["text"].alias("Text"), c["sentences"].alias("Sentences"), c["num_tokens"].alias("NumTokens"))).alias("chunks")
         counts = F.struct(F.size("_chunks").alias("total_chunks"), total(F.transform("_chunks", lambda c: c["num_tokens"]), "int").alias("total_tokens")).alias("stats")
-        good.append(rows.select(*requests.columns, F.lit(200).alias("status"), F.to_json(F.struct(echoed, chunks, counts)).alias("response")))
-    return reduce(DataFrame.unionByName, good, bad)
+        out.append(rows.select(*requests.columns, F.lit(200).alias("status"), F.to_json(F.struct(echoed, chunks, counts)).alias("response")))
+    return reduce(DataFrame.unionByName, out)

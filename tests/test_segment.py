@@ -103,3 +103,11 @@ def test_options():
     o = SegmentOptions(5, embedding_cache_mode="adaptive", embedding_cache=object())
     assert (o.cache_similarity_threshold, o.adaptive_cache_activation_threshold) == (0.9, 100)
     assert SegmentOptions(5).as_row()["depth_threshold"] == 0.0
+
+
+def test_many_chunks(spark):
+    """More chunks than one block of starts holds, in a text of many sentences."""
+    n = 2000
+    text = " ".join(f"Word{i} is here." for i in range(n))
+    got = S.segment(spark.createDataFrame([(1, text)], "doc_id long, text string"), SegmentOptions(3)).collect()
+    assert len(got) == n and [r.text for r in sorted(got, key=lambda r: r.chunk_index)] == [f"Word{i} is here." for i in range(n)]

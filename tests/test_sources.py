@@ -57,6 +57,29 @@ def test_service(spark):
     assert got[3][1]["options_used"]["depth_threshold"] == 0.1 and got[0][1]["options_used"]["depth_threshold"] == 0.0
 
 
+def test_service_errors_are_each_requests_own(spark):
+    bodies = [json.dumps({"text": "A b. C d.", "max_tokens": n}) for n in (2, 2, 3, 4)] + ['{"text": "x y.", "max_tokens": 2, "embedding_cache_mode": "force"}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    got = {r.n: (r.status, json.loads(r.response)) for r in respond(rows, max_option_sets=2).collect()}
+    assert sorted(s for s, _ in got.values()) == [200, 200, 200, 500, 500] and got[0][0] == got[1][0] == 200
+    assert all("sets of options" in r["error"] for s, r in got.values() if s == 500)
+    got = {r.n: (r.status, json.loads(r.response)) for r in respond(rows).collect()}
+    assert got[4][0] == 200 and got[4][1]["options_used"]["embedding_cache_mode"] == "disable"  # TF-IDF was used
+    provider = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0)))
+    got = {r.n: (r.status, json.loads(r.response)) for r in respond(rows, provider=provider).collect()}
+    assert got[4][0] == 400 and "embedding_cache" in got[4][1]["error"] and got[0][0] == 200
+
+
+def test_service_with_embeddings(spark, tmp_path):
+    provider = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.when(F.col("sentence").startswith("C"), -5.0).otherwise(0.0)))
+    held = C.SemanticCache(spark, str(tmp_path))
+    bodies = ['{"text": "A b. C d. C e.", "max_tokens": 50, "min_split_similarity": 0.5, "embedding_cache_mode": "force"}', '{"text": "", "max_tokens": 50, "min_split_similarity": 0.5, "embedding_cache_mode": "force"}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    got = {r.n: json.loads(r.response) for r in respond(rows, provider=provider, cache=held).collect()}
+    assert [c["Text"] for c in got[0]["chunks"]] == ["A b.", "C d. C e."] and got[1]["stats"] == {"total_chunks": 0, "total_tokens": 0}
+    assert got[0]["options_used"]["embedding_cache_mode"] == "force" and got[0]["options_used"]["cache_similarity_threshold"] == 0.9 and held.rows == 3
+
+
 def test_cache_lookup(spark):
     keys = C.keys(spark.createDataFrame(DOCS, "doc_id long, text string")).withColumn("id", F.col("doc_id") * 10 + F.col("i"))
     entries = keys.select(F.col("id").alias("entry_id"), "key")
