@@ -5,6 +5,9 @@ order of falling length. Bins that are nearly full are done. Those that are not
 into groups of bounded size, each packed best-fit again, round after round, until a round joins hardly any.
 A piece's place is its place in its bin plus that bin's place in the bin above, so only (bin, length) pairs move.
 
+Of pieces of equal length those come first that arrive first, and of equally full bins the one last added to: the
+sequences depend on how rows are dealt over partitions, the pieces do not.
+
 Null and empty texts have the end token alone. Repeated rows are packed each for itself. A piece is never cut
 again. Extra columns are not carried: the result is keyed by doc_id (which may be null) and piece.
 """
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import bounded_batches, cut, text_or_empty
 
+#: Pieces of a partition that are packed together; the underfull bins of all meet in the rounds.
+PIECES_AT_ONCE = 1 << 17
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
@@ -64,18 +69,27 @@ def local_pieces(df: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        vocab = bpe.vocabulary(path)
-        rows: list[list] = [[], [], [], [], []]
+        vocab, base, rows = bpe.vocabulary(path), TaskContext.get().partitionId() << 36, [[], [], [], [], []]
+
+        def packed():
+            nonlocal base
+            bins, offsets, fills = best_fit(np.array(rows[3], dtype=np.int64), capacity)
+            columns = [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(bins + base), pa.array(offsets), pa.array(fills[bins])], names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"])
+            base += len(fills)
+            for column in rows:
+                column.clear()
+            return out
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(vocab.encode_bytes(text) + end)
                 for k, (start, length) in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     for column, value in zip(rows, (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                         column.append(value)
-        bins, offsets, fills = best_fit(np.array(rows[3], dtype=np.int64), capacity)
-        base = TaskContext.get().partitionId() << 36
-        columns = [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(bins + base), pa.array(offsets), pa.array(fills[bins])], names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"])
+            if len(rows[3]) >= PIECES_AT_ONCE:
+                yield packed()
+        yield packed()
 
     return df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 

@@ -75,7 +75,9 @@ def test_best_fit():
     assert packing.cut_lengths(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut_lengths(2048, 1024) == [(0, 1024), (1024, 1024)]
 
 
-def test_packing(spark, vocab):
+@pytest.mark.parametrize("at_once", [7, 1 << 17])
+def test_packing(spark, vocab, monkeypatch, at_once):
+    monkeypatch.setattr(packing, "PIECES_AT_ONCE", at_once)
     rng = random.Random(4)
     docs = [(i, " ".join("word" for _ in range(rng.choice([0, 3, 20, 45, 130])))) for i in range(120)] + [(200, None), (None, "a b"), (5, "a b")]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
