@@ -136,8 +136,8 @@ class _Forest:
 
 #: A node pair with at most so many pairs of keys is compared key by key.
 LEAF_PAIRS = 256
-#: Node pairs that are traversed at once; the rest waits on a stack.
-AT_ONCE = 1 << 14
+#: Node pairs that are traversed at once, and so LEAF_PAIRS times as many pairs of keys; the rest waits on a stack.
+AT_ONCE = 1 << 11
 #: Groups of more keys first try to link their keys to one of them.
 STAR = 32
 

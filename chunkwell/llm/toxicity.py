@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, cut, staged, text_or_empty
 
 SPACE = 1 << 22
-CACHE = 300_000
+CACHE = 150_000
 LONGEST_CACHED = 64
 # fixed values: characters taken off the ends of a token
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>*%$#&@|/\\+-=_~`^0123456789«»“”„’‘…"
@@ -105,7 +105,7 @@ def _sample(rows: DataFrame, n: int) -> DataFrame:
     own, tie = F.xxhash64("doc_id"), F.xxhash64("text")
     h = [r[0] for r in rows.select(own.alias("h")).distinct().orderBy("h").limit(n).collect()]
     some = rows.filter(own <= (h[-1] if h else 0)).select(own.alias("h"), tie.alias("t"), text_or_empty().alias("text"))
-    return staged(some.orderBy("h", "t").limit(n).select("text"))  # the filter leaves more than n only if ids repeat
+    return staged(some.orderBy("h", "t").limit(n).select("text").repartition(32))  # the filter leaves more than n only if ids repeat
 
 
 def choose(pos: DataFrame, unl: DataFrame, n_pos: int, n_unl: int, prior: float, most: int) -> np.ndarray:

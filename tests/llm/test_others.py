@@ -157,7 +157,7 @@ def test_large_benchmarks_give_the_same(spark, monkeypatch):
     d = spark.createDataFrame([(1, "x " + text), (1, "x " + text), (2, "y")], "doc_id long, text string")
     b = spark.createDataFrame([(5, text)], "item_id long, text string")
     small = decontaminate.leaks(d, b).collect()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert decontaminate.leaks(d, b).collect() == small and small[0].place == 1
 
 
