@@ -1,7 +1,8 @@
 """The corpus pipeline over documents: toxicity, line dedup, SimHash near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return
-the columns of documents. The toxicity stage learns from labels, decontamination reads benchmark.
+the columns of documents, extra ones included, whatever their names. The toxicity stage learns from labels,
+decontamination reads benchmark. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from chunkwell.llm.common import cut, document_key, fresh, staged, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null and empty texts have the bias alone as score; repeated rows go or stay together.
+    Without a toxic label in the training folds all stay, null ids are scored like others."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated passages go from the texts; n_chars follows. Documents stay, even with an empty text."""
+    """Later repeated passages go from the texts; n_chars follows, null for a null text. Documents stay, even with an
+    empty text. Null ids come first in order, rows with one id are ordered by a hash of their texts, and repeated rows are
+    one document, that is, each keeps what it has first."""
     kept = linededup.dedup(docs)
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -41,12 +45,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; each row is judged by its own text, whatever its id. Null and
+    empty texts stay, and without benchmark items all do."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row a piece."""
+    """Sequences of at most 1024 tokens: one row a piece. Null and empty texts have the end token; null ids and repeated
+    rows have pieces of their own."""
     return packing.pack(docs, capacity=1024, end_id=2)
 
 
