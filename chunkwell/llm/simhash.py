@@ -127,6 +127,12 @@ class _Forest:
             x = up[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up, dtype=np.int64)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
     def link(self, a: int, b: int) -> None:
         x, y = self.root(a), self.root(b)
         if x != y:
@@ -161,8 +167,7 @@ def trie_links(keys: np.ndarray, full: np.ndarray, groups: np.ndarray, top: int,
             if 4 * near.sum() < len(rest):
                 break
             rest = rest[1:][~near]
-    known = np.array([forest.root(x) for x in range(n)] if forest.edges else np.arange(n))
-    changes = np.concatenate([[0], np.cumsum(known[1:] != known[:-1])]) if n else known
+    known, changes, n_known = np.arange(n), np.arange(n), 0  # each key's root, and how often it changes up to there
     lo, hi = groups[:-1], groups[1:]
     many = hi - lo > 1
     stack = [(lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), dtype=np.int64), top)]
@@ -172,6 +177,9 @@ def trie_links(keys: np.ndarray, full: np.ndarray, groups: np.ndarray, top: int,
             half = len(a0) // 2
             stack += [(a0[s], a1[s], b0[s], b1[s], diff[s], depth) for s in (slice(0, half), slice(half, None))]
             continue
+        if len(forest.edges) > n_known:
+            known, n_known = forest.roots(), len(forest.edges)
+            changes = np.concatenate([[0], np.cumsum(known[1:] != known[:-1])])
         linked = (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]) & (known[a0] == known[b0])
         leaf = ~linked & (((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth == BITS))
         if leaf.any():
@@ -180,7 +188,7 @@ def trie_links(keys: np.ndarray, full: np.ndarray, groups: np.ndarray, top: int,
             of = np.repeat(np.arange(len(i0)), size)
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             x, y = a0[i0][of] + k // n_b[of], b0[i0][of] + k % n_b[of]
-            ahead = x < y
+            ahead = (x < y) & (known[x] != known[y])
             x, y = x[ahead], y[ahead]
             apart = distances(full[x], full[y])
             near = np.flatnonzero(apart <= errors)
