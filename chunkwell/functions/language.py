@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +16,17 @@ UNKNOWN = "unknown"
 LEAST_HITS = 2
 
 
+def one_of(value: Column, words: list[str]) -> Column:
+    """Whether a value is one of these words: a look-up in a set. The list is made in the JVM, as a call for each word
+    would make plans slow to build."""
+    strings = SparkContext._active_spark_context._jvm.org.apache.hadoop.util.StringUtils
+    return Column(value._jc.isInCollection(strings.getStringCollection(" ".join(words), " ")))
+
+
 def listed(tokens: Column, language: Language, wanted: bool) -> Column:
     """The tokens that are stopwords of the language, or that aren't."""
-    # one literal, split when the plan is optimized: a literal a word would make plans slow to build
-    words = F.split(F.lit(" ".join(sorted(set(language.stopwords)))), " ")
-    return F.filter(tokens, lambda t: F.array_contains(words, t) if wanted else ~F.array_contains(words, t))
+    words = sorted(set(language.stopwords))
+    return F.filter(tokens, lambda t: one_of(t, words) if wanted else ~one_of(t, words))
 
 
 def script(text: Column, languages: dict[str, Language] = LANGUAGES) -> Column:
