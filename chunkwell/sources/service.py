@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import total
 from ..operators.cache import SemanticCache, cached_embeddings, keys
-from ..operators.segment import prepared, segment_column, segment_dense
+from ..operators.segment import prepared, segment_dense, with_chunks
 from ..plans.options import SegmentOptions
 
 MAX_BYTES = 1 << 20
@@ -75,7 +75,7 @@ def respond(requests: DataFrame, body: str = "body", max_option_sets: int = 256,
         except ValueError as e:
             out.append(failed(rows, F.lit(400), F.lit(str(e))))
             continue
-        rows = rows.withColumn("_chunks", segment_column(F.col("_q.text"), o)) if provider is None else _dense_chunks(rows, o, provider)
+        rows = with_chunks(rows, o, F.col("_q.text"), rows.columns) if provider is None else _dense_chunks(rows, o, provider)
         used = o.as_row()
         echoed = F.struct(*[F.lit(used[f]).cast(t).alias(f) for f, t in FIELDS.items()]).alias("options_used")
         chunks = F.transform("_chunks", lambda c: F.struct(c["text"].alias("Text"), c["sentences"].alias("Sentences"), c["num_tokens"].alias("NumTokens"))).alias("chunks")
