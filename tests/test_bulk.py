@@ -58,3 +58,14 @@ def test_ngrams_joined(spark):
 def test_stopwords_are_looked_up_in_a_set(spark):
     plan = spark.range(1).select(L.detect_language(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan and "array_contains" not in plan
+
+
+def test_top_terms_as_by_rows(docs):
+    """The query needs no keys, and its terms are those of the keys."""
+    cleaned = F.transform(X.split_sentences("text"), X.letters)
+    grams = F.transform(X.split_sentences("text"), lambda s: X.char_ngrams(s, 3, 5))
+    vectors = V.sentence_vectors(F.col("grams"))
+    rows = docs.select(cleaned.alias("s"), grams.alias("grams")).select(bulk.top_ngrams(F.col("s"), 3, 5, 4).alias("a"), F.transform(vectors, lambda v: V.top_terms(v, 4)).alias("b"), bulk.ngram_vectors(F.col("s"), 3, 5).alias("c"), vectors.alias("d")).collect()
+    assert all(r.a == r.b for r in rows) and any(r.a for r in rows)
+    for r in rows:
+        assert [{k: round(w, 12) for k, w in m.items()} for m in r.c] == [{k: round(w, 12) for k, w in m.items()} for m in r.d]
