@@ -69,3 +69,12 @@ def test_top_terms_as_by_rows(docs):
     assert all(r.a == r.b for r in rows) and any(r.a for r in rows)
     for r in rows:
         assert [{k: round(w, 12) for k, w in m.items()} for m in r.c] == [{k: round(w, 12) for k, w in m.items()} for m in r.d]
+
+
+def test_rare_terms_lead(spark):
+    """Terms that all keys have do not lead while there are others: else all keys would be joined with all."""
+    from chunkwell.operators import cache as C
+
+    keys = spark.createDataFrame([(i, {"every": 1.0, f"o{i}": 2.0}) for i in range(20)], "x int, key map<string,double>")
+    terms = C.postings(keys, "x", 0.9, C.frequencies(keys)).groupBy("term").count()
+    assert terms.agg(F.max("count")).first()[0] == 1
