@@ -34,12 +34,12 @@ def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
 
 
-def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of SLICE elements together, or of one row."""
+def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of so many elements together, or of one row."""
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield at, to
         at = to
 
@@ -121,8 +121,14 @@ class Terms:
 def ngrams(sentences: pa.Array, least: int, most: int) -> Terms:
     """The n-grams of sentences of letters and digits; numbers are in the order of the texts."""
     flat = sentences.flatten()
-    chars = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    chars = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     each = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ngrams_of(chars, each, lengths(sentences), least, most)
+
+
+def ngrams_of(chars: np.ndarray, each: np.ndarray, sizes: np.ndarray, least: int, most: int) -> Terms:
+    """The same from all characters, how many each sentence has, and how many sentences each document has."""
+    chars = chars.astype(np.int64)
     there = np.zeros(int(chars.max()) + 1 if len(chars) else 1, bool)
     there[chars] = True
     alphabet = np.concatenate(([0], np.flatnonzero(there))).astype(np.uint32)  # 0: past the end
@@ -148,7 +154,7 @@ def ngrams(sentences: pa.Array, least: int, most: int) -> Terms:
     def texts(c: np.ndarray) -> pa.Array:
         return pa.array(np.ascontiguousarray(alphabet[spelled(c)]).view(f"<U{most}").ravel().tolist() if len(c) else [], pa.string())
 
-    return Terms(lengths(sentences), codes, owner[at], texts)
+    return Terms(sizes, codes, owner[at], texts)
 
 
 def coded(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -160,9 +166,11 @@ class Words:
     """Terms of tokens in a language: less its stopwords, trimmed once more, stemmed."""
 
     def __init__(self, o: SegmentOptions):
-        self.stop, self.stem, self.seen = o.enable_stop_word_removal, o.enable_stemming, {}
-        longest = lambda affixes: sorted(set(affixes), key=lambda a: (-len(a.encode()), a))
-        self.languages = {x.name: (frozenset(x.stopwords), longest(x.prefixes), sorted(set(x.suffixes), key=len, reverse=True), x.min_len) for x in o.languages.values()}
+        self.stop, self.stem = o.enable_stop_word_removal, o.enable_stemming
+        self.seen: dict[str, dict[str, int]] = {}  # by language, the number of each token's term; -1 for none
+        self.numbers: dict[str, int] = {}
+        longest = lambda affixes: tuple(sorted(set(affixes), key=lambda a: (-len(a.encode()), a)))
+        self.languages = {x.name: (frozenset(x.stopwords), longest(x.prefixes), tuple(sorted(set(x.suffixes), key=len, reverse=True)), x.min_len) for x in o.languages.values()}
 
     def _term(self, token: str, lang: str) -> str | None:
         if lang not in self.languages:
@@ -174,40 +182,35 @@ class Words:
         if not self.stem or not (prefixes or suffixes) or len(token.encode()) < least:
             return token
         out = token
-        out = next((out[len(p) :] for p in prefixes if out.startswith(p)), out)
-        return next((out[: -len(s)] for s in suffixes if out.endswith(s)), out) if len(out.encode()) >= least else out
-
-    def term(self, token: str, lang: str) -> str | None:
-        found = self.seen.get((token, lang), 0)
-        if found == 0:
-            if len(self.seen) >= KEPT_WORDS:
-                self.seen.clear()
-            found = self.seen[token, lang] = self._term(token, lang)
+        if out.startswith(prefixes):
+            out = next(out[len(p) :] for p in prefixes if out.startswith(p))
+        if len(out.encode()) >= least and out.endswith(suffixes):
+            out = next(out[: -len(s)] for s in suffixes if out.endswith(s))
+        return out
+
+    def _numbers(self, tokens: list[str], lang: str) -> list[int]:
+        seen = self.seen.setdefault(lang, {})
+        found = list(map(seen.get, tokens))
+        if None in found:
+            for i, token in enumerate(tokens):
+                if found[i] is None:
+                    term = self._term(token, lang)
+                    found[i] = seen[token] = -1 if term is None else self.numbers.setdefault(term, len(self.numbers))
         return found
 
-    def __call__(self, tokens: pa.Array, langs: pa.Array) -> Terms:
-        """langs: of documents, or lists of those of sentences."""
-        sizes, inner = lengths(tokens), tokens.flatten()
-        codes, vocabulary = coded(inner.flatten())
-        sentence = np.repeat(np.arange(len(inner)), lengths(inner))
-        if pa.types.is_list(langs.type):
-            lang, names = coded(langs.flatten())
-        else:
-            lang, names = coded(langs)
-            lang = np.repeat(lang, sizes)
-        names, words = names.to_pylist(), vocabulary.to_pylist()
+    def terms(self, sizes: np.ndarray, codes: np.ndarray, sentence: np.ndarray, words: np.ndarray, lang: np.ndarray, names: list[str]) -> Terms:
+        """codes: of tokens in words; lang: of sentences in names."""
+        if sum(map(len, self.seen.values())) >= KEPT_WORDS:
+            self.seen, self.numbers = {}, {}
         pair = codes * len(names) + lang[sentence] if len(codes) else codes
         table = np.full(len(words) * len(names), -1, np.int64)
         used = np.zeros(len(table), bool)
         used[pair] = True
-        numbers: dict[str, int] = {}
-        for p in np.flatnonzero(used).tolist():
-            word = self.term(words[p // len(names)], names[p % len(names)])
-            if word is not None:
-                table[p] = numbers.setdefault(word, len(numbers))
-        codes = table[pair]
-        known = pa.array(list(numbers), pa.string())
-        return Terms(sizes, codes[codes >= 0], sentence[codes >= 0], lambda c: known.take(pa.array(c)))
+        for k, name in enumerate(names):
+            own = np.flatnonzero(used[k :: len(names)])
+            table[own * len(names) + k] = self._numbers(words[own].tolist(), name)
+        codes, numbers = table[pair], self.numbers
+        return Terms(sizes, codes[codes >= 0], sentence[codes >= 0], lambda c: pa.array(list(numbers), pa.string()).take(pa.array(c)))
 
 
 def plain(tokens: pa.Array) -> Terms:
@@ -239,18 +242,6 @@ def batched(kind: str, run: Callable[..., pa.Array], *columns: Column) -> Column
         return F.arrow_udf(run, kind, ArrowUDFType.SCALAR)(*columns)
 
 
-def cohesion(tokens: Column, lang: Column, o: SegmentOptions) -> Column:
-    """array<double> from the sentences' tokens and the language, or languages, they are scored in."""
-    words = Words(o)
-    # the language is named twice, or Spark would move its computation into the call, where it can't be evaluated
-    return _column("array<double>", lambda t, x, _: words(t, x).cohesion(), tokens, lang, F.hash(lang))
-
-
-def cohesion_ngrams(sentences: Column, least: int, most: int) -> Column:
-    """array<double> from sentences of letters and digits."""
-    return _column("array<double>", lambda s: ngrams(s, least, most).cohesion(), sentences)
-
-
 def tfidf(tokens: Column) -> Column:
     return _column("array<struct<t:string,i:int,w:double>>", lambda t: plain(t).tfidf(), tokens)
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bulk
+from ..functions import bulk_text
 from ..functions.arrays import let, total
 from ..functions.language import detect_language, remove_stopwords, stem_tokens
-from ..functions.text import char_ngrams, letters, normalize_abbreviations, split_sentences, token_counts, tokenize
+from ..functions.text import char_ngrams, normalize_abbreviations, split_sentences, token_counts, tokenize
 from ..functions.vectors import cohesion, cohesion_dense
 from ..plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
 
@@ -141,29 +141,13 @@ def segment_column(text: Column, o: SegmentOptions) -> Column:
 
 
 def scored(df: DataFrame, o: SegmentOptions, text: Column, keep: list[str]) -> DataFrame:
-    """The kept columns with _s, the sentences, _n, their token counts, and _scores, by Arrow batches: what
-    scores_column gives, for large tables. A step a selection, as no function of array elements may hold these scores."""
-    rows = df.select(*keep, text.alias("_text"), early_language(text, o).alias("_early"))
-    rows = rows.select(*keep, "_early", normalized(F.col("_text"), F.col("_early"), o).alias("_t"))
-    rows = rows.select(*keep, "_early", "_t", split_sentences(F.col("_t")).alias("_s"))
-    if o.ngrams:
-        rows = rows.select(*keep, "_s", token_counts(F.col("_s")).alias("_n"), F.transform("_s", letters).alias("_x"))
-        scores = bulk.cohesion_ngrams(F.col("_x"), o.tfidf_min_ngram_size, o.tfidf_max_ngram_size)
-    else:
-        own = late_language(F.col("_early"), F.col("_t"), F.col("_s"), o)
-        if o.language_detection_mode == PER_SENTENCE and not o.language:
-            own = F.transform("_s", lambda x: detect_language(x, o.languages))
-        rows = rows.select(*keep, "_s", own.alias("_lang"), F.transform("_s", tokenize).alias("_x"))
-        rows = rows.select(*keep, "_s", "_lang", "_x", F.transform("_x", F.size).alias("_n"))
-        scores = bulk.cohesion(F.col("_x"), F.col("_lang"), o)
-    return rows.select(*keep, "_s", "_n", scores.alias("_scores"))
+    """The kept columns with _scores, by Arrow batches from the texts on: what scores_column gives, for large tables."""
+    return df.select(*keep, bulk_text.scores(text, o).alias("_scores"))
 
 
 def with_chunks(df: DataFrame, o: SegmentOptions, text: Column, keep: list[str]) -> DataFrame:
-    """The kept columns with _chunks, as segment_column gives them, by Arrow batches."""
-    s, n = F.col("_s"), F.col("_n")
-    chunks = let(boundaries(F.col("_scores"), o), lambda b: chunks_of(s, n, b, o.max_tokens))
-    return scored(df, o, text, keep).select(*keep, chunks.alias("_chunks"))
+    """The kept columns with _chunks, as segment_column gives them but for their joined texts, by Arrow batches."""
+    return df.select(*keep, bulk_text.chunks(text, o).alias("_chunks"))
 
 
 def rows_of(df: DataFrame, keep: list[str], array: Column, place: str, element: str) -> DataFrame:
@@ -174,12 +158,12 @@ def rows_of(df: DataFrame, keep: list[str], array: Column, place: str, element:
 
 def exploded(df: DataFrame, keep: list[str]) -> DataFrame:
     out = rows_of(df, keep, F.col("_chunks"), "chunk_index", "_chunk")
-    return out.select(*keep, "chunk_index", "_chunk.text", "_chunk.sentences", "_chunk.num_tokens")
+    return out.select(*keep, "chunk_index", F.array_join("_chunk.sentences", " ").alias("text"), "_chunk.sentences", "_chunk.num_tokens")
 
 
 def segment(df: DataFrame, options: SegmentOptions, text: str = "text", keep: tuple[str, ...] = ("doc_id",), arrow: bool = False) -> DataFrame:
-    """A row a chunk: the kept columns, chunk_index, text, sentences, num_tokens. arrow: sentences are scored in Python
-    workers, by batches; that takes a third of the time, or for n-grams far less, where tables are large."""
+    """A row a chunk: the kept columns, chunk_index, text, sentences, num_tokens. arrow: texts are segmented in Python
+    workers, by batches; that takes a small part of the time where tables are large."""
     if arrow:
         return exploded(with_chunks(df, options, F.col(text), list(keep)), list(keep))
     return exploded(df.select(*keep, segment_column(F.col(text), options).alias("_chunks")), list(keep))

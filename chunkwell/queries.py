@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as sql
-from .functions import bulk
+from .functions import bulk, bulk_text
 from .functions import language as L
 from .functions import text as X
 from .functions import vectors as V
 from .functions.arrays import let
 from .operators import cache
-from .operators.segment import boundaries, early_language, late_language, prepared, rows_of, scored, segment, segment_dense, sentence_rows, stats
+from .operators.segment import early_language, late_language, prepared, rows_of, scored, segment, segment_dense, sentence_rows, stats
 from .plans.options import ADAPTIVE, FIRST_TEN, FORCE, FULL_TEXT, PER_SENTENCE, SegmentOptions
 from .plans.spread import spread
 from .sources.embeddings import embed_from_table
@@ -116,18 +116,13 @@ def stem_tokens(spark, sf_dir):
     return _coded(spark, sf_dir).select("doc_id", F.array_join(let(X.tokenize(F.col("text")), lambda t: L.stem_tokens(t, F.col("lang"))), " ").alias("stems"))
 
 
-def _raw_tokens(spark, sf_dir):
-    tokens = prepared(F.col("text"), RAW, lambda t, s, early: F.transform(s, X.tokenize))
-    return documents(spark, sf_dir).select("doc_id", tokens.alias("tokens"))
-
-
 def document_frequency(spark, sf_dir):
-    rows = rows_of(_raw_tokens(spark, sf_dir), ["doc_id"], bulk.document_frequencies(F.col("tokens")), "p", "e")
+    rows = rows_of(documents(spark, sf_dir), ["doc_id"], bulk_text.document_frequencies(F.col("text"), RAW), "p", "e")
     return rows.select("doc_id", F.col("e.t").alias("term"), F.col("e.df").alias("df"))
 
 
 def sentence_tfidf(spark, sf_dir):
-    rows = rows_of(_raw_tokens(spark, sf_dir), ["doc_id"], bulk.tfidf(F.col("tokens")), "p", "e")
+    rows = rows_of(documents(spark, sf_dir), ["doc_id"], bulk_text.tfidf(F.col("text"), RAW), "p", "e")
     return rows.select("doc_id", F.col("e.i").alias("i"), F.col("e.t").alias("term"), F.round("e.w", 6).alias("weight"))
 
 
@@ -147,7 +142,7 @@ def dense_cosine_adjacent(spark, sf_dir):
 
 def bounds(o: SegmentOptions):
     def run(spark, sf_dir):
-        return rows_of(scored(documents(spark, sf_dir), o, F.col("text"), ["doc_id"]), ["doc_id"], boundaries(F.col("_scores"), o), "i", "brk")
+        return rows_of(documents(spark, sf_dir), ["doc_id"], bulk_text.breaks(F.col("text"), o), "i", "brk")
 
     return run
 

@@ -78,7 +78,7 @@ def respond(requests: DataFrame, body: str = "body", max_option_sets: int = 256,
         rows = with_chunks(rows, o, F.col("_q.text"), rows.columns) if provider is None else _dense_chunks(rows, o, provider)
         used = o.as_row()
         echoed = F.struct(*[F.lit(used[f]).cast(t).alias(f) for f, t in FIELDS.items()]).alias("options_used")
-        chunks = F.transform("_chunks", lambda c: F.struct(c["text"].alias("Text"), c["sentences"].alias("Sentences"), c["num_tokens"].alias("NumTokens"))).alias("chunks")
+        chunks = F.transform("_chunks", lambda c: F.struct(F.array_join(c["sentences"], " ").alias("Text"), c["sentences"].alias("Sentences"), c["num_tokens"].alias("NumTokens"))).alias("chunks")
         counts = F.struct(F.size("_chunks").alias("total_chunks"), total(F.transform("_chunks", lambda c: c["num_tokens"]), "int").alias("total_tokens")).alias("stats")
         out.append(rows.select(*requests.columns, F.lit(200).alias("status"), F.to_json(F.struct(echoed, chunks, counts)).alias("response")))
     return reduce(DataFrame.unionByName, out)
