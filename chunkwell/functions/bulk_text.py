@@ -21,7 +21,7 @@ from pyspark.sql import Column
 
 from ..plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
 from ..sources.languages import Language
-from .bulk import DIGITS, Terms, Words, batched, coded, ngrams_of, offsets, slices
+from .bulk import DIGITS, Terms, Words, batched, coded, lengths, ngrams_of, offsets, slices
 from .language import LEAST_HITS, UNKNOWN
 from .text import ELLIPSIS, SPACES
 
@@ -238,14 +238,24 @@ class Segmenter:
         heads = [" ".join(self.flat[a : a + min(n, most)]) for a, n in zip(first.tolist(), self.sizes.tolist())]
         return np.repeat(detector.among(scripts(heads), self.tokens, np.repeat(owner, self.tokens.counts)), self.sizes), detector.names
 
-    def read(self, texts: list[str]) -> Segmenter:
+    def split(self, texts: list[str]) -> list[str] | None:
+        """Sentences; the languages known before."""
         o = self.o
         early = self._early(texts)
         if o.pre_normalize_abbreviations:
             texts = [normalize_abbreviations(t, self.contractions.get(x)) for t, x in zip(texts, early or [None] * len(texts))]
         own = [split_sentences(t) for t in texts]
         self.texts, self.sizes, self.flat = texts, np.fromiter(map(len, own), np.int64, len(own)), [s for x in own for s in x]
+        return early
+
+    def cut(self, texts: list[str]) -> list[str] | None:
+        """Sentences and their tokens; the languages known before."""
+        early = self.split(texts)
         self.tokens = Tokens(self.flat)
+        return early
+
+    def read(self, texts: list[str]) -> Segmenter:
+        o, early = self.o, self.cut(texts)
         if o.ngrams:
             self.terms = ngrams_of(*letters(self.flat), self.sizes, o.tfidf_min_ngram_size, o.tfidf_max_ngram_size)
         elif not o.enable_stop_word_removal and not o.enable_stemming:  # tokens as they are, whatever the language
@@ -274,12 +284,23 @@ class Segmenter:
         return pa.ListArray.from_arrays(offsets(self.sizes), pa.array(self.flat, pa.string()))
 
     def chunks(self) -> pa.Array:
+        return self.packed(self.terms.cohesion())
+
+    def given(self, scores: pa.Array) -> pa.Array:
+        """Lists of scores as long as these texts have them: zeros where a list is missing or of another length."""
+        want, have = np.maximum(self.sizes - 1, 0), lengths(scores)
+        values = pc.fill_null(scores.flatten(), 0.0).to_numpy(zero_copy_only=False)
+        fits, out = np.flatnonzero(want == have), np.zeros(int(want.sum()))
+        out[spans((np.cumsum(want) - want)[fits], want[fits])] = values[spans((np.cumsum(have) - have)[fits], want[fits])]
+        return pa.ListArray.from_arrays(offsets(want), pa.array(out))
+
+    def packed(self, scores: pa.Array) -> pa.Array:
         """list<struct<sentences,num_tokens>>: greedy packing under the budget."""
         first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
         broken = np.ones(len(self.flat), bool)
         inner = np.ones(len(self.flat), bool)
         inner[first] = False
-        broken[inner] = _breaks(self.terms.cohesion(), self.o)
+        broken[inner] = _breaks(scores, self.o)
         most, starts, held, own = self.o.max_tokens, [], False, 0
         for i, (n, cut) in enumerate(zip(self.tokens.counts.tolist(), broken.tolist())):
             if n > most:
@@ -316,7 +337,7 @@ def _breaks(scores: pa.Array, o: SegmentOptions) -> np.ndarray:
 
 #: A worker's segmenters by their options, the last few, as their words serve later tasks too.
 SEGMENTERS: dict[bytes, Segmenter] = {}
-KEPT_SEGMENTERS = 2
+KEPT_SEGMENTERS = 4
 
 
 def segmenter(key: bytes) -> Segmenter:
@@ -328,17 +349,63 @@ def segmenter(key: bytes) -> Segmenter:
     return found
 
 
+CHUNKS = "array<struct<sentences:array<string>,num_tokens:int>>"
+
+
+def packed_options(o: SegmentOptions) -> bytes:
+    return pickle.dumps(replace(o, embedding_cache=None, embedding_cache_mode=""))  # caches stay on the driver
+
+
+EMPTY = packed_options(SegmentOptions(1))
+
+
+def _sliced(strings: list[str], of: Callable[[int, int], pa.Array]) -> pa.Array:
+    return pa.concat_arrays([of(i, j) for i, j in slices(np.fromiter(map(len, strings), np.int64, len(strings)), SLICE)] or [of(0, 0)])
+
+
 def _column(kind: str, of: Callable[[Segmenter], pa.Array], text: Column, o: SegmentOptions) -> Column:
-    key = pickle.dumps(replace(o, embedding_cache=None, embedding_cache_mode=""))  # caches stay on the driver
+    key = packed_options(o)
 
     def run(texts: pa.Array) -> pa.Array:
         own, strings = segmenter(key), strings_of(texts)
-        parts = [of(own.read(strings[i:j])) for i, j in slices(np.fromiter(map(len, strings), np.int64, len(strings)), SLICE)]
-        return pa.concat_arrays(parts) if parts else of(own.read([]))
+        return _sliced(strings, lambda i, j: of(own.read(strings[i:j])))
 
     return batched(kind, run, text)
 
 
+def chunks_scored(text: Column, scores: Column, o: SegmentOptions) -> Column:
+    """chunks() by given scores of neighbouring sentences, array<double>."""
+    key = packed_options(o)
+
+    def run(texts: pa.Array, given: pa.Array) -> pa.Array:
+        own, strings = segmenter(key), strings_of(texts)
+
+        def of(i: int, j: int) -> pa.Array:
+            own.cut(strings[i:j])
+            return own.packed(own.given(given.slice(i, j - i)))
+
+        return _sliced(strings, of)
+
+    return batched(CHUNKS, run, text, scores)
+
+
+def chunks_by(text: Column, which: Column, options: list[SegmentOptions]) -> Column:
+    """chunks() by the options of each row's number; none where it has no number."""
+    keys = [packed_options(o) for o in options]
+
+    def run(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        k = pc.fill_null(numbers, -1).to_numpy(zero_copy_only=False)
+        strings, order = strings_of(texts), np.argsort(k, kind="stable")
+        parts = []
+        for n in np.unique(k).tolist() or [-1]:
+            own = segmenter(keys[n] if n >= 0 else EMPTY)
+            mine = [strings[x] if n >= 0 else "" for x in order[k[order] == n].tolist()]
+            parts.append(_sliced(mine, lambda i, j: own.read(mine[i:j]).chunks()))  # noqa: B023
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order, kind="stable")))
+
+    return batched(CHUNKS, run, text, which)
+
+
 def scores(text: Column, o: SegmentOptions) -> Column:
     """array<double>: the cohesion of each two neighbouring sentences."""
     return _column("array<double>", Segmenter.scores, text, o)
@@ -351,12 +418,19 @@ def breaks(text: Column, o: SegmentOptions) -> Column:
 
 def chunks(text: Column, o: SegmentOptions) -> Column:
     """array<struct<sentences,num_tokens>>: the chunks, without their joined texts."""
-    return _column("array<struct<sentences:array<string>,num_tokens:int>>", Segmenter.chunks, text, o)
+    return _column(CHUNKS, Segmenter.chunks, text, o)
 
 
 def sentences(text: Column, o: SegmentOptions) -> Column:
     """array<string>: the sentences of the normalized text."""
-    return _column("array<string>", Segmenter.sentences, text, o)
+    key = packed_options(o)
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = segmenter(key)
+        own.split(strings_of(texts))
+        return own.sentences()
+
+    return batched("array<string>", run, text)
 
 
 def tfidf(text: Column, o: SegmentOptions) -> Column:

@@ -7,6 +7,8 @@ a time, need the sentences of a document brought together again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import bulk_text
 from ..functions.arrays import let, total
 from ..functions.language import detect_language, remove_stopwords, stem_tokens
 from ..functions.text import char_ngrams, normalize_abbreviations, split_sentences, token_counts, tokenize
-from ..functions.vectors import cohesion, cohesion_dense
+from ..functions.vectors import cohesion, cohesion_dense, dense_cosine
 from ..plans.options import FIRST_TEN, FULL_TEXT, PER_SENTENCE, SegmentOptions
 
 CHUNK = "struct<text:string,sentences:array<string>,num_tokens:int>"
@@ -183,6 +185,22 @@ def segment_dense(rows: DataFrame, options: SegmentOptions, keep: tuple[str, ...
     return exploded(docs.select(*keep, chunks.alias("_chunks")), list(keep))
 
 
+def segment_by_table(df: DataFrame, options: SegmentOptions, vectors: DataFrame, number: Callable[[Column], Column], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """segment_dense() of texts with vectors from a table of id and embedding; number gives the id of the sentence at a
+    place. Each pair of ids is scored once. Only numbers go through shuffles, but for one of the texts by key; neither
+    sentences nor their vectors do."""
+    places = F.sequence(F.lit(0), F.size("_s") - 2)
+    pair = lambda i: F.struct(number(i).alias("a"), number(i + 1).alias("b"))
+    cut = df.select(df["*"], bulk_text.sentences(F.col(text), options).alias("_s"))
+    pairs = rows_of(cut, [key], F.when(F.size("_s") > 1, F.transform(places, pair)), "i", "p").select(key, "i", "p.a", "p.b")
+    side = lambda x, e: vectors.select(F.col("id").alias(x), F.col("embedding").alias(e))
+    known = pairs.select("a", "b").distinct().join(side("a", "_x"), "a").join(side("b", "_y"), "b")
+    scores = pairs.join(known.select("a", "b", dense_cosine(F.col("_x"), F.col("_y")).alias("s")), ["a", "b"], "left")
+    lists = scores.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("s", F.lit(0.0)).alias("s")))).alias("_r"))
+    docs = df.select(key, text).join(lists.select(key, F.transform("_r", lambda r: r["s"]).alias("_scores")), key, "left")
+    return exploded(docs.select(key, bulk_text.chunks_scored(F.col(text), F.col("_scores"), options).alias("_chunks")), [key])
+
+
 def stats(chunks: DataFrame, seconds: float | None = None) -> DataFrame:
     """total_chunks, total_tokens and, for a run of so many seconds, the time and the rates (0 for no time)."""
     out = chunks.agg(F.count("*").alias("total_chunks"), F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("total_tokens"))

@@ -15,10 +15,9 @@ from .functions import text as X
 from .functions import vectors as V
 from .functions.arrays import let
 from .operators import cache
-from .operators.segment import early_language, late_language, prepared, rows_of, scored, segment, segment_dense, sentence_rows, stats
+from .operators.segment import late_language, prepared, rows_of, scored, segment, segment_by_table, sentence_rows, stats
 from .plans.options import ADAPTIVE, FIRST_TEN, FORCE, FULL_TEXT, PER_SENTENCE, SegmentOptions
 from .plans.spread import spread
-from .sources.embeddings import embed_from_table
 from .sources.service import respond
 
 # the fixture's language codes
@@ -163,9 +162,9 @@ def segment_stats(spark, sf_dir):
 
 def segment_dense_table(spark, sf_dir):
     """The dense path with vectors from a table, joined by a number made of document and sentence."""
-    o, vectors = SegmentOptions(64), table(spark, sf_dir, "embeddings")
-    rows = sentence_rows(documents(spark, sf_dir), o).withColumn("vec_id", F.pmod(F.col("doc_id") * 31 + F.col("i"), F.lit(max(1, vectors.count()))))
-    return counted(segment_dense(embed_from_table(rows, vectors, "vec_id"), o))
+    vectors = table(spark, sf_dir, "embeddings")
+    many = F.lit(max(1, vectors.count()))
+    return counted(segment_by_table(documents(spark, sf_dir), SegmentOptions(64), vectors.select(F.col("vec_id").alias("id"), "embedding"), lambda i: F.pmod(F.col("doc_id") * 31 + i, many)))
 
 
 DENSE_SCORES = """

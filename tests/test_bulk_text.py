@@ -58,3 +58,17 @@ def test_words_serve_later_tasks():
     for n in range(1, 9):
         B.segmenter(pickle.dumps(SegmentOptions(n)))
     assert len(B.SEGMENTERS) <= B.KEPT_SEGMENTERS
+
+
+def test_dense_by_table_moves_no_vectors_of_sentences(spark):
+    """Chunks are those of segment_dense(); pairs of ids are scored once, and sentences and vectors stay out of shuffles."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(n, " ".join(f"W{r.randint(0, 9)} is here." for _ in range(n % 7))) for n in range(40)] + [(40, None)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(n, [r.random() for _ in range(4)]) for n in range(9)], "id long, embedding array<float>")  # 9 of 11
+    number, o = lambda i: F.pmod(F.col("doc_id") * 31 + i, F.lit(11)), SegmentOptions(7)
+    rows = S.sentence_rows(docs, o).withColumn("id", number(F.col("i")))
+    expected = S.segment_dense(rows.join(vectors.withColumn("embedding", F.col("embedding").cast("array<double>")), "id", "left"), o)
+    got = S.segment_by_table(docs, o, vectors, number)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("collect_list" in line and "embedding" in line for line in plan.split("\n"))
