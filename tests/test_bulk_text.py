@@ -72,3 +72,15 @@ def test_dense_by_table_moves_no_vectors_of_sentences(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())) != []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("collect_list" in line and "embedding" in line for line in plan.split("\n"))
+
+
+def test_service_answers_in_one_pass(spark):
+    """Requests were parsed and read once more for each set of options."""
+    from chunkwell.sources.service import respond
+
+    bodies = ['{"text":"A b. C d.","max_tokens":2}', '{"text":"A b. C d.","max_tokens":9}', '{"text":"A b."}', "no", '{"text":null,"max_tokens":9}', '{"text":"x","max_tokens":9,"embedding_cache_mode":"force"}']
+    rows = respond(spark.createDataFrame([*enumerate(bodies)], "n int, body string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.status, r.t) for r in rows.orderBy("n").select("status", F.get_json_object("response", "$.stats.total_chunks").alias("t")).collect()]
+    assert got == [(200, "2"), (200, "1"), (400, None), (400, None), (200, "0"), (200, "1")]
