@@ -5,12 +5,13 @@ the line. A paragraph's digest is 48 bits of its hash and 16 of its length. Each
 cells, one in each third of the sketch; a cell holds how many digests it has, their exclusive or, and that of
 their checks. Two sketches subtract cell by cell, and what is left is peeled: a cell with a single digest gives it
 away, which is then taken out of its other cells, and so on. If cells remain, sketches four times as large are
-made of both and tried in turn; if the largest does not peel either, the digests themselves are compared. The digests
-recovered are those of the paragraphs that differ; likeness is the share of the two texts' paragraphs, by length, that
+made of both and tried in turn, from the first that holds as many digests with ease as the smallest ones' counts say
+differ; if the largest does not peel either, the digests themselves are compared. The digests recovered are those of
+the paragraphs that differ; likeness is the share of the two texts' paragraphs, by length, that
 doesn't. A paragraph counts once however often and wherever it stands in a text: a text with its paragraphs in another
 order, or one of them twice, is as like as the same text.
 
-Everything is a function of a row: arrays sorted by cell, runs of equal cells summed. The only shuffle of texts brings
+Everything is a function of a row: places in cells sorted, runs of equal cells summed. The only shuffle of texts brings
 neighbours in the order of doc_id together, by ranges of ids with about as many rows each.
 
 A null text is empty; an empty text has no paragraphs and an empty sketch; two empty sketches have likeness 1.
@@ -30,11 +31,12 @@ from .common import cut, text_or_empty
 UNIT = 80
 WIDTH = 8  # cells in a third of the smallest sketch
 GROWTH = 4
+LOAD = 0.1  # digests a cell in the first sketches tried: most stand alone in one; empty cells cost nothing
 LEVELS = 10  # the largest has as many cells in a third as there are hashes for it, 2^21
 ROUNDS = 64  # of peeling; sketches that peel do so in far fewer
 
 CELLS = "array<struct<i:int,c:int,k:bigint,x:int>>"
-DIGESTS = "array<struct<k:bigint,c:int>>"
+DIGESTS = "array<bigint>"
 
 
 def let(value: Column, body) -> Column:
@@ -63,77 +65,145 @@ def check(digest: Column) -> Column:
     return F.hash(digest)
 
 
-def entries(digest: Column, sign: Column, width: Column) -> Column:
-    """The three cells of a digest."""
+def places(digest: Column, number: Column, width: Column) -> Column:
+    """The three cells of a digest, each above the number of the entry that goes into it."""
 
     def third(h, j):
-        return (F.lit(j) * width + F.shiftrightunsigned(h, 21 * j).bitwiseAND(F.lit((1 << 21) - 1)).cast("int") % width).cast("int")
+        own = F.shiftrightunsigned(h, 21 * j).bitwiseAND(F.lit((1 << 21) - 1)) % width
+        return F.shiftleft(own + F.lit(j) * width if j else own, 32).bitwiseOR(number)
 
-    return let(F.xxhash64(digest), lambda h: F.array(*[F.struct(third(h, j).alias("i"), sign.cast("int").alias("c"), digest.alias("k"), check(digest).alias("x")) for j in range(3)]))
+    return let(F.xxhash64(digest), lambda h: F.array(*[third(h, j) for j in range(3)]))
 
 
-def summed(cells: Column) -> Column:
-    """Cells of equal place summed; empty ones are gone."""
+def numbered(keys: Column, width: Column) -> Column:
+    return F.flatten(F.transform(keys, lambda k, p: places(k, p.cast("long"), width)))
+
+
+def cell_at(place: Column) -> Column:
+    return F.shiftright(place, 32).cast("int")
+
+
+def number_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def cell(i: Column, c: Column, k: Column, x: Column) -> Column:
+    return F.struct(i.alias("i"), c.alias("c"), k.alias("k"), x.alias("x"))
+
+
+def xor(some: Column, of=lambda e: e, kind: str = "long") -> Column:
+    return F.aggregate(some, F.lit(0).cast(kind), lambda s, e: s.bitwiseXOR(of(e)))
+
+
+def summed(at: Column, count, digest, checked, single=None) -> Column:
+    """The cells that entries make, given by place, with what each has of count, digest and check (no count: one each);
+    empty cells are gone. Only the places are sorted: to compare structs costs several times as much."""
+    single = single or (lambda place: cell(cell_at(place), count(place) if count else F.lit(1), digest(place), checked(place)))
+
+    def several(own):
+        entries = F.aggregate(own, F.lit(0), lambda s, place: s + count(place)) if count else F.size(own)
+        return cell(cell_at(F.get(own, F.lit(0))), entries, xor(own, digest), xor(own, checked, "int"))
 
     def run(s, p, stop):
-        own = F.slice(s, p, stop - p)
-        zero = F.struct(F.get(own, F.lit(0))["i"].alias("i"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("x"))
-        return F.aggregate(own, zero, lambda a, e: F.struct(a["i"].alias("i"), (a["c"] + e["c"]).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["x"].bitwiseXOR(e["x"]).alias("x")))
+        return F.when(stop - p == 1, single(F.get(s, p - 1))).otherwise(let(F.slice(s, p, stop - p), several))
 
     def runs(s):
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda p: (p == 1) | (F.get(s, p - 1)["i"] != F.get(s, p - 2)["i"]))
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda p: (p == 1) | (F.shiftright(F.get(s, p - 1).bitwiseXOR(F.get(s, p - 2)), 32) != 0))
         return let(starts, lambda b: F.transform(b, lambda p, q: run(s, p, F.coalesce(F.get(b, q + 1), F.size(s) + 1))))
 
-    some = let(F.sort_array(cells), runs)
-    return F.when(F.size(cells) == 0, cells).otherwise(F.filter(some, lambda e: (e["c"] != 0) | (e["k"] != 0) | (e["x"] != 0)))
+    some = F.filter(let(F.sort_array(at), runs), lambda e: (e["c"] != 0) | (e["k"] != 0) | (e["x"] != 0))
+    return F.when(F.size(at) == 0, F.array().cast(CELLS)).otherwise(some)
+
+
+def of_digests(keys: Column, sign, width: Column) -> Column:
+    """The cells of digests, each counted as the sign of its number says."""
+    digest = lambda place: F.get(keys, number_of(place))
+    count = (lambda place: sign(number_of(place))) if sign else None
+    return let(numbered(keys, width), lambda at: summed(at, count, digest, lambda place: check(digest(place))))
 
 
 def sketch(keys: Column, width: Column) -> Column:
-    return let(F.flatten(F.transform(keys, lambda k: entries(k, F.lit(1), width))).cast(CELLS), summed)
+    return of_digests(keys, None, width)
+
+
+def together(cells: Column) -> Column:
+    """Cells, some of them of equal place, summed."""
+    at = F.transform(cells, lambda e, p: F.shiftleft(e["i"].cast("long"), 32).bitwiseOR(p.cast("long")))
+    of = lambda place: F.get(cells, number_of(place))
+    return let(at, lambda some: summed(some, lambda place: of(place)["c"], lambda place: of(place)["k"], lambda place: of(place)["x"], of))
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    minus = F.transform(b, lambda e: F.struct(e["i"].alias("i"), (-e["c"]).alias("c"), e["k"].alias("k"), e["x"].alias("x")))
-    return let(F.concat(a, minus), summed)
+    minus = F.transform(b, lambda e: cell(e["i"], -e["c"], e["k"], e["x"]))
+    return let(F.concat(a, minus), together)
+
+
+def sketched_apart(a: Column, b: Column, width: Column) -> Column:
+    """The sketch of a less that of b, made at once: b's digests count as -1."""
+    return let(F.concat(a, b), lambda keys: of_digests(keys, lambda p: F.when(p < F.size(a), F.lit(1)).otherwise(F.lit(-1)), width))
 
 
 def peeled(cells: Column, width: Column) -> Column:
-    """struct(cells left, digests recovered)."""
-    none = F.array().cast(DIGESTS)
+    """struct(cells left, digests recovered). A digest is in three cells, so the exclusive or of all cells is that of all
+    digests in them: where digests found agree with it in sum, no cell is left, and none has to be summed anew."""
 
-    def step(acc, _):
-        pure = F.filter(acc["cells"], lambda e: (F.abs(e["c"]) == 1) & (e["x"] == check(e["k"])))
-        found = F.array_distinct(F.transform(pure, lambda e: F.struct(e["k"].alias("k"), e["c"].alias("c"))))
+    def pure(cells, count):
+        return F.array_distinct(F.transform(F.filter(cells, lambda e: (e["c"] == count) & (e["x"] == check(e["k"]))), lambda e: e["k"]))
+
+    def whole(cells, f):
+        count = F.aggregate(cells, F.lit(0), lambda s, e: s + e["c"])
+        same = lambda of, found, kind: xor(cells, of, kind) == xor(f["p"], found, kind).bitwiseXOR(xor(f["m"], found, kind))
+        return (count == 3 * (F.size(f["p"]) - F.size(f["m"]))) & same(lambda e: e["k"], lambda k: k, "long") & same(lambda e: e["x"], check, "int")
 
+    def out(keys, count):
+        return F.flatten(F.transform(keys, lambda k: F.transform(places(k, F.lit(0).cast("long"), width), lambda at: cell(cell_at(at), F.lit(count), k, check(k)))))
+
+    def step(acc, _):
         def taken(f):
-            out = F.flatten(F.transform(f, lambda d: entries(d["k"], -d["c"], width)))
-            left = F.when(F.size(f) == 0, acc["cells"]).otherwise(let(F.concat(acc["cells"], out), summed))
-            return F.struct(left.cast(CELLS).alias("cells"), F.concat(acc["digests"], f).cast(DIGESTS).alias("digests"), (F.size(f) > 0).alias("on"))
+            none, some = F.size(f["p"]) + F.size(f["m"]) == 0, F.concat(f["p"], f["m"])
+            left = lambda end: F.when(none, acc["cells"]).when(end, F.array().cast(CELLS)).otherwise(let(F.concat(acc["cells"], out(f["p"], -1), out(f["m"], 1)), together))
+            return let(~none & whole(acc["cells"], f), lambda end: F.struct(left(end).cast(CELLS).alias("cells"), F.concat(acc["digests"], some).cast(DIGESTS).alias("digests"), (~(none | end)).alias("on")))
 
-        return F.when(acc["on"], let(found, taken)).otherwise(acc)
+        return F.when(acc["on"], let(F.struct(pure(acc["cells"], 1).alias("p"), pure(acc["cells"], -1).alias("m")), taken)).otherwise(acc)
 
-    start = F.struct(cells.cast(CELLS).alias("cells"), none.alias("digests"), F.lit(True).alias("on"))
+    start = F.struct(cells.cast(CELLS).alias("cells"), F.array().cast(DIGESTS).alias("digests"), (F.size(cells) > 0).alias("on"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
+def first_level(a: Column, b: Column, cells: Column) -> Column:
+    """The level of the smallest sketches that hold the difference of a and b with ease, judged by the cells of the
+    smallest ones' difference: a third's squared counts sum up to as many digests as differ, and to what the surplus
+    of one side adds."""
+    squares = F.aggregate(cells, F.lit(0).cast("long"), lambda s, e: s + e["c"].cast("long") * e["c"]) / 3
+    surplus, most = (F.size(a) - F.size(b)).cast("double"), (F.size(a) + F.size(b)).cast("double")
+    guess = F.greatest((squares - surplus * surplus / WIDTH) / (1 - 1 / WIDTH), F.abs(surplus), F.lit(1.0))
+    level = F.ceil(F.log(F.least(guess, F.greatest(most, F.lit(1.0))) / (3 * WIDTH * LOAD)) / math.log(GROWTH))
+    return F.least(F.greatest(level, F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """The digests in which the key sets a and b differ: from the smallest sketches, given as cells, or from the
-    first of the larger ones that peels whole, or compared if none does."""
-    none = F.array().cast(DIGESTS)
+    first of the larger ones that peels whole, or compared if none does. Sizes that are likely too small are passed over."""
+
+    def attempt(level, smallest):
+        def of(width):
+            left = F.when(level == 0, smallest).otherwise(sketched_apart(a, b, width))
+            return let(let(left, lambda c: peeled(c, width)), lambda p: F.struct((F.size(p["cells"]) == 0).alias("done"), p["digests"].alias("digests")))
+
+        return let((F.lit(WIDTH) * F.pow(F.lit(GROWTH), level)).cast("long"), of)
 
-    def attempt(level):
-        width = (F.lit(WIDTH) * F.pow(F.lit(GROWTH), level)).cast("int")
-        left = F.when(level == 0, subtracted(cells_a, cells_b)).otherwise(subtracted(sketch(a, width), sketch(b, width)))
-        return let(let(left, lambda c: peeled(c, width)), lambda p: F.struct((F.size(p["cells"]) == 0).alias("done"), p["digests"].alias("digests")))
+    def tried(smallest):
+        start = F.struct(F.lit(False).alias("done"), F.array().cast(DIGESTS).alias("digests"))
+        levels = F.sequence(first_level(a, b, smallest), F.lit(LEVELS - 1))
+        return F.aggregate(levels, start, lambda acc, level: F.when(acc["done"], acc).otherwise(attempt(level, smallest)))
 
-    tried = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), F.struct(F.lit(False).alias("done"), none.alias("digests")), lambda acc, level: F.when(acc["done"], acc).otherwise(attempt(level)))
-    one_sided = lambda x, y, sign: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(sign).alias("c")))
-    return let(tried, lambda t: F.when(t["done"], t["digests"]).otherwise(F.concat(one_sided(a, b, 1), one_sided(b, a, -1)).cast(DIGESTS)))
+    compared = F.concat(F.array_except(a, b), F.array_except(b, a))
+    return let(let(subtracted(cells_a, cells_b), tried), lambda t: F.when(t["done"], t["digests"]).otherwise(compared))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     total = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + length_of(k))
-    apart = let(difference(a, b, cells_a, cells_b), lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda s, e: s + length_of(e["k"])))
+    apart = let(difference(a, b, cells_a, cells_b), lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda s, k: s + length_of(k)))
     return let(total(a) + total(b), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - apart / n)).cast("double")
 
 
@@ -184,7 +254,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = edited(docs)
     keys = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited_text")).alias("b"), digests(F.col("next_text")).alias("c"))
     whole = let(F.struct("a", "b", "c"), lambda t: let(
-        F.struct(*[sketch(t[x], F.lit(WIDTH)).alias(x) for x in "abc"]),
+        F.struct(*[sketch(t[x], F.lit(WIDTH).cast("long")).alias(x) for x in "abc"]),
         lambda s: F.struct(
             written(s["a"]).alias("fingerprint"), written(s["b"]).alias("edited_fingerprint"),
             likeness(t["a"], t["b"], s["a"], s["b"]).alias("near_edited"), likeness(t["a"], t["c"], s["a"], s["c"]).alias("near_next"),

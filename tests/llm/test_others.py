@@ -3,6 +3,7 @@ import itertools
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -260,6 +261,36 @@ def test_sketches_that_do_not_peel(spark, monkeypatch):
         assert 0 < r.near_next < 0.01 and 0.6 < r.near_edited < 0.7
 
 
+def test_sketches_that_are_too_small_are_passed_over(spark):
+    """The first sketches tried hold the difference, however many texts' parts both have in common, and not with far
+    more cells than that takes; they give all of it away, and sketches of both subtracted are the sketch made at once."""
+    rng = random.Random(3)
+    some = lambda n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    sets = [(both + some(n), both + some(m)) for n, m in ((0, 0), (1, 0), (2, 3), (20, 20), (0, 90), (150, 140), (900, 900)) for both in (some(0), some(200))]
+    width = lambda level: (F.lit(fingerprint.WIDTH) * F.pow(F.lit(fingerprint.GROWTH), level)).cast("long")
+    a, b, least = F.col("a"), F.col("b"), F.lit(fingerprint.WIDTH).cast("long")
+    rows = spark.createDataFrame(sets, "a array<long>, b array<long>").withColumn("cells", fingerprint.subtracted(fingerprint.sketch(a, least), fingerprint.sketch(b, least)))
+    rows = rows.withColumn("level", fingerprint.first_level(a, b, F.col("cells")))
+    at_once = fingerprint.sketched_apart(a, b, width(F.col("level")))
+    in_two = fingerprint.subtracted(fingerprint.sketch(a, width(F.col("level"))), fingerprint.sketch(b, width(F.col("level"))))
+    got = rows.select("a", "b", "level", at_once.alias("x"), in_two.alias("y"), fingerprint.peeled(at_once, width(F.col("level"))).alias("p"), fingerprint.peeled(F.col("cells"), least).alias("q")).collect()
+    for r in got:
+        apart = set(r.a) ^ set(r.b)
+        cells = 3 * fingerprint.WIDTH * fingerprint.GROWTH**r.level
+        assert r.x == r.y and not r.p.cells and sorted(r.p.digests) == sorted(apart), len(apart)
+        assert r.level == 0 or len(apart) / fingerprint.LOAD / 2 < cells < 2 * fingerprint.GROWTH * len(apart) / fingerprint.LOAD, (len(apart), cells)
+        assert r.q.cells if len(apart) > 3 * fingerprint.WIDTH else len(apart) > 5 or set(r.q.digests) == apart
+
+
+def test_peeling_of_many_digests(spark):
+    """Digests found are made distinct by hash: 20,000 took 9 s, and 57 where each was compared with each."""
+    width = F.lit(fingerprint.WIDTH * fingerprint.GROWTH**7)
+    keys = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.xxhash64(i)).alias("a"))
+    began = time.monotonic()
+    left, found = keys.select(fingerprint.peeled(fingerprint.sketch(F.col("a"), width), width).alias("p")).select(F.size("p.cells"), F.size("p.digests")).first()
+    assert (left, found) == (0, 20_000) and time.monotonic() - began < 30
+
+
 HTML = [
     ("Hi <b>there</b>, you<p>One<p>Two &amp; three", "Hi there, you\n\nOne\n\nTwo & three"),
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
